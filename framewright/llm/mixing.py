@@ -6,8 +6,9 @@ part of that is taken outright, the fraction by dependent rounding.
 
 Two documents with fractions meet and move mass (words times fraction) between them until one's
 fraction is 0 or 1; which way is drawn at random so that either's expectation stays. The sum of
-mass never changes, so what a source takes misses its target by one document at most. This is
-done as a reduction tree: documents are dealt into blocks of about ``BLOCK`` by a hash, a fold
+mass never changes, so what a source takes misses its target by less than the one document that
+is left in the end, which goes to the nearer side; then up to ``REPAIRS`` documents of the last block
+change sides if that brings the source nearer to its target. This is done as a reduction tree: documents are dealt into blocks of about ``BLOCK`` by a hash, a fold
 over each block settles all but one of its documents, and the one left goes to the next level.
 Each level has a ``BLOCK``-th of the rows of the one before; the last has one block per source.
 The blocks do not depend on the source's size, so a source with a third of all rows has as many
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, table
 
-MAX_COPIES, BLOCK, SEED = 3, 64, 8
+MAX_COPIES, BLOCK, SEED, REPAIRS = 3, 64, 8, 2
 #: Fractions nearer than this to 0 or 1 are 0 or 1.
 EPS = 1e-9
 
@@ -65,24 +66,51 @@ def fold(rows: Column) -> Column:
     The state is the document still open and those settled; weights are sizes.
     """
 
-    def step(state: Column, x: Column) -> Column:
+    def let(value: Column, then) -> Column:
+        """then(value), with the value worked out once."""
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    snap = lambda p: F.when(p < EPS, 0.0).when(p > 1 - EPS, 1.0).otherwise(p)
+
+    def meet(state: Column, x: Column) -> Column:
         a = state["open"]
-        wa, wx, pa, px = a["size"].cast("double"), x["size"].cast("double"), a["p"], x["p"]
-        up, down = F.least((1 - pa) * wa, px * wx), F.least(pa * wa, (1 - px) * wx)
-        rise = x["u"] * (up + down) < down  # a rises with odds in proportion to what its fall would move
-        move = F.when(rise, up).otherwise(-down)
-        snap = lambda p: F.when(p < EPS, 0.0).when(p > 1 - EPS, 1.0).otherwise(p)
-        na, nx = a.withField("p", snap(pa + move / wa)), x.withField("p", snap(px - move / wx))
-        a_done = (na["p"] == 0) | (na["p"] == 1)
-        met = F.struct(F.when(a_done, nx).otherwise(na).alias("open"), F.array_append(state["done"], F.when(a_done, na).otherwise(nx)).alias("done"))
-        is_open = lambda d: (d["p"] > 0) & (d["p"] < 1)
-        return F.when(is_open(a), met).otherwise(F.struct(x.alias("open"), F.array_append(state["done"], a).alias("done")))
+        wa, wx = a["size"].cast("double"), x["size"].cast("double")
+
+        def moved(m: Column) -> Column:
+            rise = x["u"] * (m["up"] + m["down"]) < m["down"]  # a rises with odds in proportion to what its fall would move
+            return F.when(rise, m["up"]).otherwise(-m["down"])
+
+        def ended(p: Column) -> Column:
+            a_done = p["a"].isin(0.0, 1.0)
+            na, nx = a.withField("p", p["a"]), x.withField("p", p["x"])
+            return F.struct(F.when(a_done, nx).otherwise(na).alias("open"), F.array_append(state["done"], F.when(a_done, na).otherwise(nx)).alias("done"))
+
+        limits = F.struct(F.least((1 - a["p"]) * wa, x["p"] * wx).alias("up"), F.least(a["p"] * wa, (1 - x["p"]) * wx).alias("down"))
+        return let(let(limits, moved), lambda m: let(F.struct(snap(a["p"] + m / wa).alias("a"), snap(x["p"] - m / wx).alias("x")), ended))
+
+    def step(state: Column, x: Column) -> Column:
+        settled = state["open"]["p"].isin(0.0, 1.0)
+        return F.when(settled, F.struct(x.alias("open"), F.array_append(state["done"], state["open"]).alias("done"))).otherwise(meet(state, x))
 
     start = F.struct(F.element_at(rows, 1).alias("open"), F.filter(rows, lambda _: F.lit(False)).alias("done"))
     return F.aggregate(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), start, step, lambda s: F.array_append(s["done"], s["open"]))
 
 
-def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def close(done: DataFrame) -> DataFrame:
+    """(key, d) with every p 0 or 1, from (key, d), the last block of each source: some ``BLOCK`` rows of a key."""
+    own = Window.partitionBy("key")
+    p, size = F.col("d.p"), F.col("d.size")
+    out = done.select("key", "d", F.row_number().over(own.orderBy("d.size", "d.id", "d.p")).alias("i"), F.sum((F.round(p) - p) * size).over(own).alias("over"))
+    out = out.withColumn("d", F.col("d").withField("p", F.round(p)))
+    for _ in range(REPAIRS):
+        gain = (1 - 2 * p) * size  # what changing sides adds to what is taken
+        out = out.withColumn("best", F.min(F.struct(F.abs(F.col("over") + gain).alias("miss"), "i", gain.alias("gain"))).over(own))
+        better = F.col("best.miss") < F.abs("over")
+        out = out.select("key", F.when(better & (F.col("i") == F.col("best.i")), F.col("d").withField("p", 1 - p)).otherwise(F.col("d")).alias("d"), "i", F.when(better, F.col("over") + F.col("best.gain")).otherwise(F.col("over")).alias("over"))
+    return out.select("key", "d")
+
+
+def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(id, size, source_size, target, copies, taken) for each row.
 
     Shuffles ids and sizes alone, never texts: once over all rows, and once per level over a
@@ -92,26 +120,24 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
     scratch = Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    rows = scratch.write(docs.select(F.col(ident).cast("long").alias("id"), F.col(source).alias("source"), key.alias("key"), size.alias("size")), "rows")
-    targets = scratch.write(source_targets(rows), "targets")
+    sizes = scratch.write(docs.select(F.col(ident).cast("long").alias("id"), F.col(source).alias("source"), key.alias("key"), size.alias("size")), "rows")
+    targets = scratch.write(source_targets(sizes), "targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(share + EPS)
     part = F.greatest(share - whole, F.lit(0.0))
-    rows = rows.join(targets, "key").select("key", F.struct("id", "size", "source_size", "target", whole.cast("long").alias("whole"), F.when((F.col("size") == 0) | (part < EPS), 0.0).otherwise(part).alias("p")).alias("d"))
+    rows = sizes.join(targets, "key").select("key", F.struct("id", "size", "source_size", "target", whole.cast("long").alias("whole"), F.when((F.col("size") == 0) | (part < EPS), 0.0).otherwise(part).alias("p")).alias("d"))
     settled = [rows.where("d.p = 0").select("d")]
     open_rows = rows.where("d.p > 0")
-    total, level = scratch_count(docs, scratch), 0
+    total, level = sizes.count(), 0
     while True:
         blocks = math.ceil(total / BLOCK)
         block = F.pmod(F.xxhash64("d.id", F.lit(SEED), F.lit(~level)), F.lit(max(blocks, 1)))
         one = F.struct(draw(F.col("d.id"), level).alias("u"), *(F.col(f"d.{c}").alias(c) for c in ("id", "size", "source_size", "target", "whole", "p")))
         dealt = open_rows.select("key", block.alias("block"), one.alias("x")).groupBy("key", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-        done = dealt.select("key", F.explode(fold(F.col("xs"))).alias("d")).select("key", F.struct(*(F.col(f"d.{c}").alias(c) for c in ("id", "size", "source_size", "target", "whole", "p"))).alias("d"))
-        done = scratch.write(done, f"level-{level}")
+        done = dealt.select("key", F.transform(fold(F.col("xs")), lambda d: F.struct(*(d[c].alias(c) for c in ("id", "size", "source_size", "target", "whole", "p")))).alias("ds"))
+        done = scratch.write(done.select("key", F.explode("ds").alias("d")), f"level-{level}")
         if blocks <= 1:
-            # the one left of each source is drawn alone
-            last = F.when(draw(F.col("d.id"), ~SEED) < F.col("d.p"), 1.0).otherwise(0.0)
-            settled.append(done.select(F.col("d").withField("p", F.when(F.col("d.p").isin(0.0, 1.0), F.col("d.p")).otherwise(last)).alias("d")))
+            settled.append(close(done).select("d"))
             break
         settled.append(done.where("d.p IN (0.0, 1.0)").select("d"))
         open_rows, total, level = done.where("d.p NOT IN (0.0, 1.0)"), blocks, level + 1
@@ -122,11 +148,6 @@ def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: st
     return out.select("d.id", "d.size", "d.source_size", "d.target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))
 
 
-def scratch_count(docs: DataFrame, scratch: Scratch) -> int:
-    """The number of rows, from the table written first."""
-    return scratch.spark.read.parquet(f"{scratch.root}/rows").count()
-
-
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: what the mix takes of every document."""
     got = mix(table(spark, sf_dir, "documents"))
