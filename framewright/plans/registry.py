@@ -1,6 +1,445 @@
-"""The queries of the frame engine and their SQL oracles."""
+"""The queries of the frame engine. Fixtures have a frame per thousand rows of ``events``."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions.tables import CHROMA, DC_BOOKS, FIRST_DC_BOOK, LEVEL_BOOKS, LUMA, RUN_BOOKS, Config
+from ..operators import blocks, color, container, encode, stats, symbols
+from ..sources import frames as sources
+from . import oracles
+
+#: The plain fixture, and one with odd sizes and two slices in a row.
+SMALL = (128, 80)
+ODD = Config(131, 37, profile=3)
+ODD_444 = Config(131, 37, profile=4)
+#: The quantizer of the queries on symbols.
+Q = 4
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES = oracles.ORACLES
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.frame_ids(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def pixels(spark: SparkSession, sf_dir: str, size: tuple[int, int]) -> DataFrame:
+    return sources.synthetic_pixels(ids(spark, sf_dir), *size)
+
+
+def rgba(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
+    return sources.synthetic_frames(ids(spark, sf_dir), config.width, config.height)
+
+
+def summary(samples: DataFrame) -> DataFrame:
+    v = F.col("v").cast("long")
+    return samples.groupBy("frame_idx", "plane").agg(F.count("*").alias("n"), F.min(v).alias("min_v"), F.max(v).alias("max_v"), F.sum(v).alias("sum_v"), F.sum(v * (F.col("x") + 1 + 3 * (F.col("y") + 1))).alias("weighted"))
+
+
+def padded(spark, sf_dir, config: Config) -> DataFrame:
+    px = pixels(spark, sf_dir, (config.width, config.height))
+    return color.pad(color.yuv444(px, alpha=True) if config.is_444 else color.yuv422(px), config)
+
+
+def coefficients(spark, sf_dir, config: Config = ODD) -> DataFrame:
+    return blocks.dct_blocks(blocks.dct_rows(color.tiles(padded(spark, sf_dir, config), config)))
+
+
+def dc(spark, sf_dir) -> DataFrame:
+    return symbols.dc_symbols(blocks.dc_levels(coefficients(spark, sf_dir), ODD, Q))
+
+
+def ac(spark, sf_dir) -> DataFrame:
+    return blocks.ac_levels(blocks.ac_entries(coefficients(spark, sf_dir), ODD), Q)
+
+
+def sizes(spark, sf_dir) -> DataFrame:
+    """Packets whose sizes are those of the events' properties."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("frame_idx"), F.octet_length("props").cast("long").alias("size"))
+
+
+# ---- sources ----
+
+
+@query
+def src13_fixture(spark, sf_dir):
+    total = lambda c: F.sum(c).cast("long").alias(f"sum_{c}")
+    return pixels(spark, sf_dir, SMALL).groupBy("frame_idx").agg(F.count("*").alias("n"), *map(total, "rgba"))
+
+
+@query
+def src1_frames(spark, sf_dir):
+    config = Config(*SMALL)
+    return sources.check_frames(rgba(spark, sf_dir, config), config).select("frame_idx", F.octet_length("rgba").cast("long").alias("n_bytes"), F.sha2("rgba", 256).alias("sha256"))
+
+
+@query
+def src7_natural_order(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("shot_"), F.col("p_partkey").cast("string"), F.lit(".PNG")).alias("name"))
+    return sources.number_names(names.where(F.lower("name").endswith(".png"))).select("frame_idx", "name")
+
+
+@query
+def src9_first_frames(spark, sf_dir):
+    return sizes(spark, sf_dir).where(F.col("frame_idx") < 150).select("frame_idx", "size")
+
+
+# ---- projections ----
+
+
+@query
+def prj1_yuv422(spark, sf_dir):
+    return summary(color.yuv422(pixels(spark, sf_dir, SMALL)))
+
+
+@query
+def prj1_yuv422_odd(spark, sf_dir):
+    return summary(color.yuv422(pixels(spark, sf_dir, (ODD.width, ODD.height))))
+
+
+@query
+def prj2_yuv444(spark, sf_dir):
+    return summary(color.yuv444(pixels(spark, sf_dir, SMALL)))
+
+
+@query
+def prj3_yuva444(spark, sf_dir):
+    return summary(color.yuv444(pixels(spark, sf_dir, SMALL), "full", alpha=True))
+
+
+@query
+def prj4_clamp(spark, sf_dir):
+    px = pixels(spark, sf_dir, SMALL)
+    raw = {(n, k): color.raw_sample(n, F.col("r"), F.col("g"), F.col("b"), k) for k in ("limited", "full") for n in ("y", "cb", "cr")}
+    rows = px.select(F.explode(F.array(*(F.struct(F.lit(k).alias("color_range"), F.lit(n).alias("plane"), v.alias("raw"), F.lit(color.COLOR[k][n][4]).alias("low"), F.lit(color.COLOR[k][n][5]).alias("high")) for (n, k), v in raw.items()))).alias("s")).select("s.*")
+    v = C.clamp(F.col("raw"), F.col("low"), F.col("high"))
+    return rows.groupBy("color_range", "plane").agg(F.count_if(F.col("raw") < F.col("low")).alias("below"), F.count_if(F.col("raw") > F.col("high")).alias("above"), F.min(v).cast("long").alias("min_v"), F.max(v).cast("long").alias("max_v"))
+
+
+@query
+def prj5_pad(spark, sf_dir):
+    return summary(padded(spark, sf_dir, ODD))
+
+
+@query
+def prj6_alpha16(spark, sf_dir):
+    v = F.col("v")
+    return color.alpha16(padded(spark, sf_dir, ODD_444), ODD_444).groupBy("frame_idx", "mb_row", "slice").agg(F.count("*").alias("n"), F.sum(v).cast("long").alias("sum_v"), F.sum(v * (F.col("i") % 97 + 1)).cast("long").alias("weighted"))
+
+
+def _tiles(spark, sf_dir, config):
+    tiled = color.tiles(padded(spark, sf_dir, config).where("plane <> 'a'"), config)
+    return tiled.groupBy("frame_idx", "mb_row", "slice", "plane", "block_no").agg(F.count("*").alias("n"), F.sum("v").cast("long").alias("sum_v"), F.sum(F.col("v") * (8 * F.col("r") + F.col("c") + 1)).cast("long").alias("weighted"))
+
+
+@query
+def prj7_tiles(spark, sf_dir):
+    return _tiles(spark, sf_dir, ODD)
+
+
+@query
+def prj7_tiles_444(spark, sf_dir):
+    return _tiles(spark, sf_dir, ODD_444)
+
+
+@query
+def prj8_quant_ac(spark, sf_dir):
+    got = ac(spark, sf_dir)
+    return got.groupBy("frame_idx", "mb_row", "slice", "plane").agg(F.count("*").alias("n"), F.count_if(F.col("level") > 0).alias("coded"), F.sum("level").cast("long").alias("sum_level"), F.sum("rest").cast("long").alias("sum_rest"))
+
+
+@query
+def prj9_quant_dc(spark, sf_dir):
+    got = blocks.dc_levels(coefficients(spark, sf_dir), ODD, Q)
+    return got.select("frame_idx", "mb_row", "slice", "plane", "block_no", F.col("dc").cast("long").alias("dc"), F.col("level").cast("long").alias("level"))
+
+
+@query
+def prj10_matrix(spark, sf_dir):
+    entries = lambda plane, m: spark.range(64).select(F.lit(plane).alias("plane"), F.col("id").alias("raster"), C.lookup(m, F.col("id")).cast("long").alias("m"))
+    matrix = entries("y", LUMA[1]).unionByName(entries("cb", CHROMA[1]))
+    return blocks.scaled_matrix(matrix, spark.range(1, 10).select(F.col("id").alias("q")))
+
+
+# ---- transform ----
+
+
+@query
+def trf1_dct_rows(spark, sf_dir):
+    rows = blocks.dct_rows(color.tiles(padded(spark, sf_dir, ODD), ODD))
+    return rows.select("frame_idx", "mb_row", "slice", "plane", "block_no", "r", *(F.col(f"p{u}").cast("long").alias(f"p{u}") for u in range(8)))
+
+
+@query
+def trf1_dct_block(spark, sf_dir):
+    got = coefficients(spark, sf_dir)
+    weighted = F.aggregate(F.transform("coef", lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return got.select("frame_idx", "mb_row", "slice", "plane", "block_no", F.get("coef", F.lit(0)).cast("long").alias("dc"), F.get("coef", F.lit(63)).cast("long").alias("last"), weighted.alias("weighted"), F.size(F.filter("coef", lambda v: v != 0)).cast("long").alias("nonzero"))
+
+
+# ---- symbols and costs ----
+
+
+@query
+def win1_dc_delta(spark, sf_dir):
+    return dc(spark, sf_dir).select("frame_idx", "mb_row", "slice", "plane", "block_no", F.col("delta").cast("long").alias("delta"))
+
+
+@query
+def win2_dc_codebook(spark, sf_dir):
+    return dc(spark, sf_dir).select("frame_idx", "mb_row", "slice", "plane", "block_no", F.col("code").cast("long").alias("code"), F.col("book").cast("long").alias("book"))
+
+
+@query
+def win3_scan_pos(spark, sf_dir):
+    got = blocks.ac_entries(coefficients(spark, sf_dir), ODD)
+    return got.groupBy("frame_idx", "mb_row", "slice", "plane").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last_pos"), F.sum(F.col("pos") * F.col("coeff")).cast("long").alias("weighted"), F.sum("raster").cast("long").alias("sum_raster"))
+
+
+@query
+def win4_runs(spark, sf_dir):
+    got = symbols.ac_symbols(ac(spark, sf_dir))
+    return got.groupBy("frame_idx", "mb_row", "slice", "plane").agg(F.count("*").alias("n"), F.sum("run").cast("long").alias("sum_run"), F.max("run").cast("long").alias("max_run"), F.sum(F.col("run") * F.col("level")).cast("long").alias("weighted"))
+
+
+@query
+def win5_ac_context(spark, sf_dir):
+    got = symbols.ac_symbols(ac(spark, sf_dir))
+    return got.groupBy("frame_idx", "mb_row", "slice", "plane", "run_context", "level_context").agg(F.count("*").alias("n"))
+
+
+@query
+def win6_alpha_rle(spark, sf_dir):
+    runs = symbols.alpha_runs(color.alpha16(padded(spark, sf_dir, ODD_444), ODD_444))
+    bits = symbols.alpha_bits(runs)
+    sums = runs.groupBy("frame_idx", "mb_row", "slice").agg(F.count("*").alias("islands"), F.sum("run").cast("long").alias("sum_run"), F.sum("diff").cast("long").alias("sum_diff"))
+    return sums.join(bits, ["frame_idx", "mb_row", "slice"]).withColumn("bits", F.col("bits").cast("long"))
+
+
+def _codewords(spark):
+    books = sorted({FIRST_DC_BOOK, *RUN_BOOKS, *LEVEL_BOOKS, *DC_BOOKS})
+    return spark.range(300).select(F.col("id").alias("value"), F.explode(F.array(*map(F.lit, books))).alias("book"))
+
+
+@query
+def agg1_code_bits(spark, sf_dir):
+    return _codewords(spark).select(F.col("book").cast("long").alias("book"), "value", C.code_bits(F.col("book"), F.col("value")).alias("bits"))
+
+
+@query
+def bit2_codewords(spark, sf_dir):
+    word = F.lpad(F.bin(C.code_word(F.col("book"), F.col("value"))), C.code_bits(F.col("book"), F.col("value")).cast("int"), "0")
+    return _codewords(spark).select(F.col("book").cast("long").alias("book"), "value", word.alias("word"))
+
+
+@query
+def bit3_zigzag(spark, sf_dir):
+    return spark.range(-500, 500).select(F.col("id").alias("value"), C.zigzag(F.col("id")).alias("code"))
+
+
+@query
+def bit4_run_level(spark, sf_dir):
+    rows = spark.range(16).select(F.col("id").alias("context"))
+    return rows.select("context", C.lookup(RUN_BOOKS, F.col("context")).cast("long").alias("run_book"), C.lookup(LEVEL_BOOKS, F.least(F.col("context"), F.lit(9))).cast("long").alias("level_book"))
+
+
+@query
+def agg2_dc_cost(spark, sf_dir):
+    return symbols.dc_cost(dc(spark, sf_dir)).select("frame_idx", "mb_row", "slice", "plane", F.col("dc_bits").cast("long").alias("dc_bits"), F.col("dc_error").cast("long").alias("dc_error"))
+
+
+@query
+def agg3_ac_cost(spark, sf_dir):
+    return symbols.ac_cost(ac(spark, sf_dir)).select("frame_idx", "mb_row", "slice", "plane", F.col("ac_bits").cast("long").alias("ac_bits"), F.col("ac_error").cast("long").alias("ac_error"))
+
+
+@query
+def agg4_plane_cost(spark, sf_dir):
+    return symbols.plane_cost(symbols.dc_cost(dc(spark, sf_dir)), symbols.ac_cost(ac(spark, sf_dir))).drop("slice_width")
+
+
+@query
+def bit1_plane_bits(spark, sf_dir):
+    got = symbols.plane_bits(dc(spark, sf_dir), symbols.ac_symbols(ac(spark, sf_dir)))
+    return got.select("frame_idx", "mb_row", "slice", "plane", F.length("text").cast("long").alias("bits"), F.md5("text").alias("md5"))
+
+
+# ---- frames ----
+
+
+@query
+def win8_trellis(spark, sf_dir):
+    return encode.slice_quantizers(rgba(spark, sf_dir, ODD), ODD)
+
+
+@query
+def bit5_slices(spark, sf_dir):
+    return encode.frame_slices(rgba(spark, sf_dir, ODD), ODD).select("frame_idx", "mb_row", "slice", "q", "size", F.md5("data").alias("md5"))
+
+
+@query
+def bit6_assembled(spark, sf_dir):
+    return encode.assemble_frames(encode.frame_slices(rgba(spark, sf_dir, ODD), ODD), ODD).select("frame_idx", "size", F.md5("data").alias("md5"))
+
+
+@query
+def bit7_frame_header(spark, sf_dir):
+    return encode.encode_frames(rgba(spark, sf_dir, ODD), ODD).select("frame_idx", F.lower(F.hex(F.substring("data", 5, 152))).alias("header"))
+
+
+@query
+def bit8_frame_md5(spark, sf_dir):
+    config = Config(*SMALL)
+    return encode.encode_frames(rgba(spark, sf_dir, config), config).select("frame_idx", "size", F.md5("data").alias("md5"))
+
+
+@query
+def bit8_frame_4444_md5(spark, sf_dir):
+    return encode.encode_frames(rgba(spark, sf_dir, ODD_444), ODD_444).select("frame_idx", "size", F.md5("data").alias("md5"))
+
+
+# ---- container ----
+
+
+@query
+def win7_offsets(spark, sf_dir):
+    return container.sample_index(sizes(spark, sf_dir), 1000)
+
+
+@query
+def agg5_totals(spark, sf_dir):
+    return container.totals(sizes(spark, sf_dir), Config(*SMALL, fps_num=30000, fps_den=1001))
+
+
+@query
+def mux_file_index(spark, sf_dir):
+    return container.file_index(sizes(spark, sf_dir), Config(*SMALL, fps_num=30000, fps_den=1001), 1000)
+
+
+@query
+def mux_movie(spark, sf_dir):
+    """A movie's header and end, and all of its digest, from encoded frames."""
+    config = Config(*SMALL)
+    packets = encode.encode_frames(rgba(spark, sf_dir, config), config)
+    movie = container.Movie(config)
+    whole = packets.groupBy().agg(F.array_sort(F.collect_list(F.struct("frame_idx", "size", F.hex("data").alias("hex")))).alias("p"))
+    body = F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), ""))
+
+    def finish(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for sizes_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if sizes_:
+                    out = movie.header(sum(sizes_)) + data + movie.moov(sizes_)
+                    yield pa.RecordBatch.from_arrays([pa.array([len(sizes_)]), pa.array([len(out)]), pa.array([hashlib.md5(out).hexdigest()])], names=["samples", "n_bytes", "md5"])
+
+    return whole.select(F.transform("p", lambda x: x["size"]).alias("sizes"), body.alias("data")).mapInArrow(finish, "samples long, n_bytes long, md5 string")
+
+
+@query
+def win9_reorder(spark, sf_dir):
+    late = sizes(spark, sf_dir).repartition(16, F.xxhash64("frame_idx"))
+    return container.reorder(late)
+
+
+@query
+def win10_times(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    times = events.select(F.col("event_id").alias("frame_idx"), (F.col("event_id") * 1001).alias("timestamp"), F.lit(1001).cast("long").alias("duration"))
+    return container.with_times(sizes(spark, sf_dir), times)
+
+
+# ---- measurements ----
+
+
+@query
+def agg6_stats(spark, sf_dir):
+    got = stats.sample_stats(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "value")
+    return got.select("event_type", "n", "median", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "least")
+
+
+@query
+def agg7_benchmark_rows(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    samples = events.where("value > 0").select("event_type", F.col("value").alias("seconds"), (F.octet_length("props") * 100000).cast("double").alias("out_bytes"))
+    return stats.benchmark_rows(samples, ["event_type"], 150, 30.0)
+
+
+@query
+def agg8_quality_means(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    got = stats.quality_means(events.select("event_type", F.col("value").alias("psnr"), (F.col("value") / 100).alias("ssim")), ["event_type"])
+    return got.select("event_type", F.round("psnr_avg", 6).alias("psnr_avg"), F.round("ssim_avg", 8).alias("ssim_avg"))
+
+
+@query
+def agg9_has_alpha(spark, sf_dir):
+    return sources.has_alpha(pixels(spark, sf_dir, SMALL).where((F.col("frame_idx") % 2 == 0) | (F.col("a") == 255)))
+
+
+def _sizes_by_encoder(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    profile = C.lookup(("proxy", "lt", "hq", "4444"), F.col("o_orderkey") % 4)
+    return orders.groupBy(F.col("o_orderpriority").alias("sequence"), F.when(F.col("o_custkey") % 2 == 0, "native").otherwise("other").alias("encoder"), profile.alias("profile")).agg(F.count("*").alias("size_bytes"))
+
+
+@query
+def agg10_ratio(spark, sf_dir):
+    return stats.size_ratio(_sizes_by_encoder(spark, sf_dir), "native", "other").withColumn("ratio", F.round("ratio", 9))
+
+
+@query
+def agg10_overview(spark, sf_dir):
+    return stats.overview(_sizes_by_encoder(spark, sf_dir).where("NOT (profile = 'hq' AND encoder = 'other')"))
+
+
+@query
+def agg11_pass_counts(spark, sf_dir):
+    return stats.pass_counts(spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("value") > 50).alias("ok")))
+
+
+@query
+def agg12_crc(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("frame_idx"), F.octet_length("props").cast("long").alias("size"), F.col("props").cast("binary").alias("data"))
+    return stats.checksum(container.sample_index(rows, 1000).join(rows.select("frame_idx", "data"), "frame_idx"), "data").drop("data")
+
+
+@query
+def framerate_fraction(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.round(F.col("p_partkey") / 64 + 10, 3).alias("fps")).distinct()
+    rates = parts.union(spark.sql("SELECT * FROM VALUES (23.976D), (29.97D), (59.94D), (24D), (25D), (12.5D), (14.985D) AS t(fps)")).distinct()
+    return rates.select("fps", C.rate_fraction(F.col("fps")).alias("f")).select("fps", "f.num", "f.den")
+
+
+@query
+def union_results(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    node = orders.groupBy(F.col("o_orderstatus").alias("contender")).agg(F.count("*").alias("runs"), F.max("o_totalprice").alias("fps"))
+    browser = orders.groupBy(F.col("o_orderpriority").alias("contender")).agg(F.count("*").alias("runs"))
+    return stats.both_runs(node, browser)
+
+
+@query
+def join_report_order(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    order = spark.sql("SELECT * FROM VALUES (4L, 'EGYPT'), (1L, 'JAPAN'), (3L, 'ATLANTIS'), (2L, 'BRAZIL') AS t(place, n_name)")
+    return stats.in_order(nation.select("n_name", "n_nationkey"), order, ["n_name"])
+
+
+@query
+def stream_packets(spark, sf_dir):
+    from ..streaming.packets import stream_to_packets
+
+    config = Config(*SMALL)
+    return stream_to_packets(rgba(spark, sf_dir, config), config).select("frame_idx", "size", F.md5("data").alias("md5"))
