@@ -32,7 +32,9 @@ from .common import Scratch, table
 from .components import connected_components
 
 THRESHOLD = 0.93
-PIVOTS, NEAREST, MIN_SHARED = 128, 8, 2
+NEAREST, MIN_SHARED = 8, 2
+#: Pivots for this many different vectors; their number grows as the root of the vectors', so lists do not.
+PIVOTS, PIVOTS_FOR, MOST_PIVOTS = 128, 10_000, 4096
 LIST_ROWS = 1024
 #: Rows compared at a time within a task.
 BATCH = 16_384
@@ -88,6 +90,10 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def pivot_count(vectors: int) -> int:
+    return int(min(MOST_PIVOTS, max(PIVOTS, PIVOTS * (vectors / PIVOTS_FOR) ** 0.5)))
+
+
 def verify(group: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndarray, near: np.ndarray, vecs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i, j) of rows within groups; rows of a group are neighbours.
 
@@ -104,7 +110,7 @@ def verify(group: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndar
         if len(i):
             shared = np.where((near[i][:, :, None] == near[j][:, None, :]).any(axis=2), near[i], np.iinfo(np.int32).max)
             shared.sort(axis=1)
-            own = ((shared < PIVOTS).sum(axis=1) >= MIN_SHARED) & (shared[:, 0] * PIVOTS + shared[:, 1] == key[i])
+            own = ((shared < MOST_PIVOTS).sum(axis=1) >= MIN_SHARED) & (shared[:, 0].astype(np.int64) * MOST_PIVOTS + shared[:, 1] == key[i])
             found_a.append(i[own])
             found_b.append(j[own])
     none = [np.zeros(0, np.int64)]
@@ -156,7 +162,7 @@ def search(lists: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component) for each row.
 
-    The pivots, at most ``PIVOTS``, are the one thing that is collected and broadcast.
+    The pivots, at most ``MOST_PIVOTS``, are the one thing that is collected and broadcast.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -164,12 +170,12 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     good = rows.where(usable(F.col("vec"), F.col("label"))).where("id IS NOT NULL")
     # negative zero and zero are one value, as in a comparison
     classes = scratch.write(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    chosen = classes.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(PIVOTS).collect()
+    chosen = classes.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(pivot_count(classes.count())).collect()
     pivots = [np.array(r["vec"], dtype=np.float64) for r in chosen]
     described = scratch.write(describe(classes.select("label", "rep", "n", "vec"), pivots), "described")
 
     pairs = [F.struct(F.least(F.get("near", F.lit(i)), F.get("near", F.lit(j))).alias("p"), F.greatest(F.get("near", F.lit(i)), F.get("near", F.lit(j))).alias("q"), (F.size("near") > j).alias("there")) for i, j in combinations(range(NEAREST), 2)]
-    keyed = described.select("*", F.explode(F.array(*pairs)).alias("pair")).where("pair.there").withColumn("key", F.col("pair.p") * PIVOTS + F.col("pair.q")).drop("pair")
+    keyed = described.select("*", F.explode(F.array(*pairs)).alias("pair")).where("pair.there").withColumn("key", F.col("pair.p").cast("long") * MOST_PIVOTS + F.col("pair.q")).drop("pair")
     count = keyed.groupBy("label", "dim", "key").agg(F.count("*").alias("rows"))
     long_lists = scratch.write(count.where(F.col("rows") > LIST_ROWS), "long")
     blocks = F.ceil(F.coalesce("rows", F.lit(1)) / (LIST_ROWS // 2)).cast("int")
