@@ -16,6 +16,8 @@ from ..functions.tables import BASIS, CHROMA, COLOR, DC_BOOKS, DC_OFFSET, FIRST_
 _M = np.array(BASIS, dtype=np.float64)
 _SCAN = np.array(SCAN)
 _EVEN = np.isin(np.arange(8), (0, 4))
+#: More than any run (32 blocks of 63 places) and any level (coefficients are below 32768, weights 4 at least).
+RUNS, LEVELS = 2048, 8192
 
 
 def to_planes(rgba: np.ndarray, config: Config) -> list[np.ndarray]:
@@ -83,6 +85,15 @@ def codeword(book: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(large, v, (1 << rice) | (value & ((1 << rice) - 1))), np.where(large, 2 * e - exp + switch + 1, (value >> rice) + 1 + rice)
 
 
+@cache
+def _lengths() -> tuple[np.ndarray, np.ndarray]:
+    """Codeword lengths by context and run, and by context and level - 1, each as one long table."""
+    books = _books()
+    run = [codeword(np.int64(b), np.arange(RUNS))[1] for b in books["run"]]
+    level = [codeword(np.int64(b), np.arange(LEVELS))[1] for b in books["level"]]
+    return np.concatenate(run).astype(np.int32), np.concatenate(level).astype(np.int32)
+
+
 class Plane:
     """One plane's coefficients of a frame, by slice; quantized and coded for any quantizers of the slices."""
 
@@ -109,7 +120,10 @@ class Plane:
         joined = [np.concatenate(x) for x in zip(*pieces, strict=True)]
         order = np.argsort(joined[0], kind="stable")
         self.ac_slice, self.pos, self.value, self.raster = (x[order].astype(np.int32) for x in joined)
-        self.size, self.weight = np.abs(self.value), self.matrix[self.raster]
+        size, self.weight = np.abs(self.value), self.matrix[self.raster]
+        # a quantizer's level is this one's quotient: floors of floors
+        self.level = size // self.weight
+        self.sizes = np.bincount(self.ac_slice, weights=size, minlength=self.total).astype(np.int64)
 
     def dc_symbols(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Books and values of the DC symbols, and each block's remainder, for quantizers by slice."""
@@ -126,36 +140,49 @@ class Plane:
         book = np.where(self.dc_first, FIRST_DC_BOOK, _books()["dc"][np.where(second, 5, np.minimum(prior, 6))])
         return book, code, np.abs(self.dc) % scale
 
-    def ac_symbols(self, q: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """(slice, run book, run, level book, level - 1, negative) of what survives; and the remainders by slice."""
-        at = slice(None) if some is None else np.flatnonzero(some[self.ac_slice])
-        of, size, weight = self.ac_slice[at], self.size[at], self.weight[at] * q[self.ac_slice[at]]
-        level = size // weight
-        left = np.bincount(of, weights=size - level * weight, minlength=self.total).astype(np.int64)
-        keep = np.flatnonzero(level)
-        of, level, pos, value = of[keep], level[keep], self.pos[at][keep], self.value[at][keep]
-        first = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
-        run = pos - np.where(first, -1, np.r_[-1, pos[:-1]][: len(pos)]) - 1
-        run_book = _books()["run"][np.where(first, 4, np.minimum(np.r_[0, run[:-1]][: len(run)], 15))]
-        level_book = _books()["level"][np.where(first, 2, np.minimum(np.r_[0, level[:-1]][: len(run)], 9))]
-        return of, run_book, run, level_book, level - 1, value < 0, left
+    def ac_levels(self, q: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(place, slice, run, run context, level, level context) of what survives; and the remainders by slice."""
+        own = self.level if some is None else np.where(some[self.ac_slice], self.level, 0)
+        if (q == q[0]).all():
+            keep = np.flatnonzero(own >= q[0])
+            of, level = self.ac_slice[keep], own[keep] // np.int32(q[0])
+            left = self.sizes - q * np.bincount(of, weights=level * self.weight[keep], minlength=self.total).astype(np.int64)
+        else:
+            scale = q.astype(np.int32)[self.ac_slice]
+            keep = np.flatnonzero(own >= scale)
+            of, scale = self.ac_slice[keep], scale[keep]
+            level = own[keep] // scale
+            left = self.sizes - q * np.bincount(of, weights=level * self.weight[keep], minlength=self.total).astype(np.int64)
+        pos = self.pos[keep]
+        first = np.empty(len(of), bool)
+        first[:1] = True
+        np.not_equal(of[1:], of[:-1], out=first[1:])
+        run = pos.copy()
+        run[1:] -= np.where(first[1:], 0, pos[:-1] + 1)
+        run_context, level_context = np.empty_like(run), np.empty_like(level)
+        np.minimum(run[:-1], 15, out=run_context[1:])
+        np.minimum(level[:-1], 9, out=level_context[1:])
+        run_context[first], level_context[first] = 4, 2
+        return keep, of, run, run_context, level, level_context, left
 
     def cost(self, q: np.ndarray, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Bits, in whole bytes, and the sum of remainders of each slice; of ``some`` slices alone."""
         book, code, rest = self.dc_symbols(q)
         bits = np.bincount(self.dc_slice, weights=codeword(book, code)[1], minlength=self.total)
         error = np.bincount(self.dc_slice, weights=rest, minlength=self.total)
-        of, run_book, run, level_book, level, _, left = self.ac_symbols(q, some)
-        bits += np.bincount(of, weights=codeword(run_book, run)[1] + codeword(level_book, level)[1] + 1, minlength=self.total)
+        _, of, run, run_context, level, level_context, left = self.ac_levels(q, some)
+        runs, levels = _lengths()
+        each = runs[run_context * RUNS + run] + levels[level_context * LEVELS + level - 1] + 1
+        bits += np.bincount(of, weights=each, minlength=self.total)
         return (bits.astype(np.int64) + 7) // 8 * 8, error.astype(np.int64) + left
 
     def code(self, q: np.ndarray) -> list[bytes]:
         """The coded bytes of each slice."""
         book, code, _ = self.dc_symbols(q)
         dc = codeword(book, code)
-        of, run_book, run, level_book, level, negative, _ = self.ac_symbols(q)
-        runs, levels = codeword(run_book, run), codeword(level_book, level)
-        ac = np.stack([runs[0], levels[0], negative], axis=1).ravel(), np.stack([runs[1], levels[1], np.ones(len(run), np.int64)], axis=1).ravel()
+        place, of, run, run_context, level, level_context, _ = self.ac_levels(q)
+        runs, levels = codeword(_books()["run"][run_context], run), codeword(_books()["level"][level_context], level - 1)
+        ac = np.stack([runs[0], levels[0], self.value[place] < 0], axis=1).ravel(), np.stack([runs[1], levels[1], np.ones(len(run), np.int64)], axis=1).ravel()
         where = np.r_[self.dc_slice, np.repeat(of, 3)]
         order = np.argsort(where, kind="stable")
         return pack(np.r_[dc[0], ac[0]][order], np.r_[dc[1], ac[1]][order], where[order], self.total)

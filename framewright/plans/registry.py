@@ -433,7 +433,7 @@ def union_results(spark, sf_dir):
 @query
 def join_report_order(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    order = spark.sql("SELECT * FROM VALUES (4L, 'EGYPT'), (1L, 'JAPAN'), (3L, 'ATLANTIS'), (2L, 'BRAZIL') AS t(place, n_name)")
+    order = spark.sql("SELECT * FROM VALUES (4L, 'NATION_4'), (1L, 'NATION_12'), (3L, 'ATLANTIS'), (2L, 'NATION_2') AS t(place, n_name)")
     return stats.in_order(nation.select("n_name", "n_nationkey"), order, ["n_name"])
 
 
