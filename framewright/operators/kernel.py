@@ -229,9 +229,18 @@ class Frame:
     """A frame's coefficients, and what follows from them."""
 
     def __init__(self, rgba: np.ndarray, config: Config):
+        self._begin(to_planes(rgba, config), config)
+
+    @classmethod
+    def of_planes(cls, planes: list[np.ndarray], config: Config) -> Frame:
+        """From planes that are converted already."""
+        frame = cls.__new__(cls)
+        frame._begin(planes, config)
+        return frame
+
+    def _begin(self, planes: list[np.ndarray], config: Config) -> None:
         self.config = config
         width, height = config.mb_width * 16, config.mb_height * 16
-        planes = to_planes(rgba, config)
         half = width if config.is_444 else width // 2
         padded = [pad(p, half if 0 < i < 3 else width, height) for i, p in enumerate(planes)]
         kind = "full" if config.is_444 else "half"
