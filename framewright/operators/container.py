@@ -166,6 +166,25 @@ def write_movie(packets: DataFrame, path: str, movie: Movie) -> int:
     return len(movie.header(sum(sizes))) + sum(sizes) + len(end)
 
 
+NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf")
+
+
+def list_boxes(data: bytes, at: int = 0, end: int | None = None, path: str = "") -> list[tuple[str, int, int, bytes]]:
+    """(path, offset, size, content) of all boxes of a movie, in order."""
+    out, end = [], len(data) if end is None else end
+    while at < end:
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        head = 8
+        if size == 1:
+            (size,), head = struct.unpack(">Q", data[at + 8 : at + 16]), 16
+        name = f"{path}/{kind.decode()}"
+        out.append((name, at, size, data[at + head : at + size]))
+        if kind in NESTED:
+            out += list_boxes(data, at + head, at + size, name)
+        at += size
+    return out
+
+
 def movie_bytes(packets: list[bytes], movie: Movie) -> bytes:
     """A whole small movie in memory."""
     return movie.header(sum(map(len, packets))) + b"".join(packets) + movie.moov([len(p) for p in packets])

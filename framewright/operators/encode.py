@@ -36,6 +36,29 @@ def encode_frames(frames: DataFrame, config: Config) -> DataFrame:
     return frames.select("frame_idx", "rgba").mapInArrow(run, PACKETS)
 
 
+def encode_converted(frames: DataFrame, config: Config) -> DataFrame:
+    """(frame_idx, size, data) from (frame_idx, planes): frames that are converted already, as 16-bit samples."""
+    from ..encoder import split_planes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, planes in _frames(batches):
+            data = kernel.Frame.of_planes(split_planes(planes, config), config).packet()
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], names=["frame_idx", "size", "data"])
+
+    return frames.select("frame_idx", "planes").mapInArrow(run, PACKETS)
+
+
+def convert_frames(frames: DataFrame, config: Config) -> DataFrame:
+    """(frame_idx, planes): the converted planes of each frame as 16-bit samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f, rgba in _frames(batches):
+            planes = kernel.to_planes(np.frombuffer(rgba, np.uint8).reshape(config.height, config.width, 4), config)
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([b"".join(p.astype("<u2").tobytes() for p in planes)], pa.binary())], names=["frame_idx", "planes"])
+
+    return frames.select("frame_idx", "rgba").mapInArrow(run, "frame_idx long, planes binary")
+
+
 def slice_quantizers(frames: DataFrame, config: Config) -> DataFrame:
     """(frame_idx, mb_row, slice, q, bits, error): what the search along each macroblock row chooses."""
 

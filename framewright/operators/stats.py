@@ -64,6 +64,18 @@ def both_runs(node: DataFrame, browser: DataFrame) -> DataFrame:
     return node.unionByName(browser, allowMissingColumns=True)
 
 
-def checksum(rows: DataFrame, data: str) -> DataFrame:
-    """Adds crc32 of a binary column, and the offset that each entry of a stored archive has."""
-    return rows.withColumn("crc", F.crc32(data))
+def archive_index(files: DataFrame, range_rows: int = 65_536) -> DataFrame:
+    """(n, name, size, crc, offset) of a stored archive from (n, name, data): where each entry's header starts.
+
+    The running sum is made from sums of ranges of n and running sums within them.
+    """
+    from .container import sample_index
+
+    rows = files.select("n", "name", F.octet_length("data").cast("long").alias("size"), F.crc32("data").alias("crc"))
+    index = sample_index(rows.select(F.col("n").alias("frame_idx"), (30 + F.octet_length("name") + F.col("size")).alias("size")), range_rows)
+    return rows.join(index.select(F.col("frame_idx").alias("n"), "offset"), "n")
+
+
+def thread_words(threads: Column) -> Column:
+    """'1t' as '1 thread', '8t' as '8 threads'."""
+    return F.when(threads == "1t", "1 thread").otherwise(F.concat(F.regexp_replace(threads, "t", ""), F.lit(" threads")))

@@ -234,4 +234,15 @@ ORACLES = {
     "union_results": """SELECT o_orderstatus AS contender, count(*) AS runs, max(o_totalprice) AS fps FROM orders GROUP BY 1
       UNION ALL SELECT o_orderpriority, count(*), NULL FROM orders GROUP BY 1""",
     "join_report_order": "SELECT n_name, place, n_nationkey FROM (VALUES (CAST(4 AS BIGINT), 'NATION_4'), (1, 'NATION_12'), (3, 'ATLANTIS'), (2, 'NATION_2')) t(place, n_name) JOIN nation USING (n_name)",
+    "src10_bars": "SELECT 'seq_' || p_partkey AS name, CAST(16 * p_size AS BIGINT) AS width, p_partkey % 90 AS num_frames, p_partkey % 2 AS has_alpha FROM part",
+    "src11_json": f"{_ENCODERS} SELECT sequence, encoder, profile, size_bytes FROM s",
+    "src12_csv": """SELECT 'a "quoted", ' || p_name AS contender, CASE WHEN p_size = 1 THEN '1 thread' ELSE p_size || ' threads' END AS threads,
+      p_retailprice AS fps, p_partkey AS runs, true AS no_mbps FROM part""",
+    "mux_boxes": f"""WITH n AS (SELECT count(*) // 1000 AS n FROM events), b(path, fixed, per) AS (VALUES
+      ('/ftyp', 20, 0), ('/moov', 607, 12), ('/moov/mvhd', 108, 0), ('/moov/trak', 491, 12), ('/moov/trak/tkhd', 92, 0), ('/moov/trak/mdia', 391, 12),
+      ('/moov/trak/mdia/mdhd', 32, 0), ('/moov/trak/mdia/hdlr', 45, 0), ('/moov/trak/mdia/minf', 306, 12), ('/moov/trak/mdia/minf/vmhd', 20, 0),
+      ('/moov/trak/mdia/minf/dinf', 36, 0), ('/moov/trak/mdia/minf/dinf/dref', 28, 0), ('/moov/trak/mdia/minf/stbl', 242, 12), ('/moov/trak/mdia/minf/stbl/stsd', 130, 0),
+      ('/moov/trak/mdia/minf/stbl/stts', 24, 0), ('/moov/trak/mdia/minf/stbl/stss', 16, 4), ('/moov/trak/mdia/minf/stbl/stsc', 28, 0),
+      ('/moov/trak/mdia/minf/stbl/stsz', 20, 4), ('/moov/trak/mdia/minf/stbl/stco', 16, 4))
+      SELECT path, CAST(fixed + per * n AS BIGINT) AS n_bytes FROM b, n WHERE n > 0""",
 }

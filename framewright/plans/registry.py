@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..functions.tables import CHROMA, DC_BOOKS, FIRST_DC_BOOK, LEVEL_BOOKS, LUMA, RUN_BOOKS, Config
 from ..operators import blocks, color, container, encode, stats, symbols
 from ..sources import frames as sources
+from ..sources import records
 from . import oracles
 
 #: The plain fixture, and one with odd sizes and two slices in a row.
@@ -61,6 +62,15 @@ def ac(spark, sf_dir) -> DataFrame:
     return blocks.ac_levels(blocks.ac_entries(coefficients(spark, sf_dir), ODD), Q)
 
 
+def scratch(spark) -> str:
+    """A folder of its own that all machines share."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='framewright-')}"
+    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def sizes(spark, sf_dir) -> DataFrame:
     """Packets whose sizes are those of the events' properties."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("frame_idx"), F.octet_length("props").cast("long").alias("size"))
@@ -92,6 +102,58 @@ def src9_first_frames(spark, sf_dir):
     return sizes(spark, sf_dir).where(F.col("frame_idx") < 150).select("frame_idx", "size")
 
 
+@query
+def src4_converted(spark, sf_dir):
+    """Packets of frames that come in converted: the same as of their pixels."""
+    config = Config(*SMALL)
+    got = encode.encode_converted(encode.convert_frames(rgba(spark, sf_dir, config), config), config)
+    return got.select("frame_idx", "size", F.md5("data").alias("md5"))
+
+
+@query
+def src8_raw_file(spark, sf_dir):
+    """Frames through one flat file of fixed-size records."""
+    config, path = Config(*SMALL), f"{scratch(spark)}/clip.raw"
+    sources.write_raw(rgba(spark, sf_dir, config), path)
+    return sources.raw_frames(spark, path, config).select("frame_idx", F.octet_length("rgba").cast("long").alias("n_bytes"), F.sha2("rgba", 256).alias("sha256"))
+
+
+@query
+def src10_bars(spark, sf_dir):
+    """Sequence configurations between bars, with comments."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = F.concat_ws("|", F.concat(F.lit("seq_"), F.col("p_partkey")), F.lit("in"), 16 * F.col("p_size"), F.lit(480), F.lit(30), F.lit(1), F.col("p_partkey") % 90, F.col("p_partkey") % 2, F.lit("f_%04d.png"))
+    text = parts.select(F.explode(F.array(F.lit("# a comment"), line)).alias("value"))
+    text.write.mode("overwrite").text(path := f"{scratch(spark)}/sequences")
+    return records.read_sequences(spark, path).select("name", F.col("width").cast("long").alias("width"), F.col("num_frames").cast("long").alias("num_frames"), F.col("has_alpha").cast("long").alias("has_alpha"))
+
+
+@query
+def src11_json(spark, sf_dir):
+    """Nested quality metrics, a document each, flattened."""
+    rows = _sizes_by_encoder(spark, sf_dir).withColumn("m", F.struct("size_bytes", F.lit(50.0).alias("psnr_avg"), F.lit(0.9).alias("ssim_avg")))
+    by = rows.groupBy("sequence", "encoder").agg(F.map_from_entries(F.collect_list(F.struct("profile", "m"))).alias("p"))
+    docs = by.groupBy("sequence").agg(F.map_from_entries(F.collect_list(F.struct("encoder", "p"))).alias("results"))
+    docs.write.mode("overwrite").json(path := f"{scratch(spark)}/metrics")
+    return records.flatten_metrics(spark.read.schema(records.METRICS).json(path)).select("sequence", "encoder", "profile", "size_bytes")
+
+
+@query
+def src12_csv(spark, sf_dir):
+    """Result rows with quoted cells, read by their header."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = parts.select(F.concat(F.lit('a "quoted", '), "p_name").alias("contender"), F.concat(F.col("p_size"), F.lit("t")).alias("threads"), F.col("p_retailprice").alias("fps"), F.col("p_partkey").alias("runs"))
+    records.write_report(rows, path := f"{scratch(spark)}/results", "csv")
+    got = records.read_results(spark, path)
+    return got.select("contender", stats.thread_words(F.col("threads")).alias("threads"), "fps", F.col("runs").cast("long").alias("runs"), F.col("mbps").isNull().alias("no_mbps"))
+
+
+@query
+def src14_matte(spark, sf_dir):
+    a = sources.matte(F.col("x"), F.col("y"), F.col("frame_idx"), *SMALL, 30.0)
+    return pixels(spark, sf_dir, SMALL).select("frame_idx", a.alias("a")).groupBy("frame_idx").agg(F.count("*").alias("n"), F.min("a").alias("least"), F.max("a").alias("most"), F.sum("a").alias("sum_a"))
+
+
 # ---- projections ----
 
 
@@ -324,27 +386,53 @@ def mux_file_index(spark, sf_dir):
     return container.file_index(sizes(spark, sf_dir), Config(*SMALL, fps_num=30000, fps_den=1001), 1000)
 
 
+def _movies(packets: DataFrame, movie, schema: str, rows) -> DataFrame:
+    """rows(movie bytes, sizes) of the one movie that all packets make; small films alone fit a row."""
+    whole = packets.groupBy().agg(F.array_sort(F.collect_list(F.struct("frame_idx", "size", F.hex("data").alias("hex")))).alias("p"))
+    body = F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), ""))
+
+    def finish(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for sizes_, data in zip(batch["sizes"], batch["data"], strict=True):
+                sizes_ = [int(x) for x in sizes_]
+                out = rows(movie.header(sum(sizes_)) + data + movie.moov(sizes_), sizes_) if sizes_ else []
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return whole.select(F.transform("p", lambda x: x["size"]).alias("sizes"), body.alias("data")).mapInPandas(finish, schema)
+
+
+def _md5(data: bytes) -> str:
+    import hashlib
+
+    return hashlib.md5(data).hexdigest()
+
+
 @query
 def mux_movie(spark, sf_dir):
-    """A movie's header and end, and all of its digest, from encoded frames."""
+    """A movie's size and digest, from encoded frames."""
     config = Config(*SMALL)
     packets = encode.encode_frames(rgba(spark, sf_dir, config), config)
-    movie = container.Movie(config)
-    whole = packets.groupBy().agg(F.array_sort(F.collect_list(F.struct("frame_idx", "size", F.hex("data").alias("hex")))).alias("p"))
-    body = F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), ""))
+    return _movies(packets, container.Movie(config), "samples long, n_bytes long, md5 string", lambda data, n: [(len(n), len(data), _md5(data))])
 
-    def finish(batches):
-        import hashlib
 
-        import pyarrow as pa
+@query
+def mux_boxes(spark, sf_dir):
+    """The movie's boxes, a row each."""
+    config = Config(*SMALL)
+    packets = encode.encode_frames(rgba(spark, sf_dir, config), config)
+    return _movies(packets, container.Movie(config), "path string, n_bytes long", lambda data, _: [(p, size) for p, _, size, _ in container.list_boxes(data) if not p.startswith("/mdat")])
 
-        for batch in batches:
-            for sizes_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if sizes_:
-                    out = movie.header(sum(sizes_)) + data + movie.moov(sizes_)
-                    yield pa.RecordBatch.from_arrays([pa.array([len(sizes_)]), pa.array([len(out)]), pa.array([hashlib.md5(out).hexdigest()])], names=["samples", "n_bytes", "md5"])
 
-    return whole.select(F.transform("p", lambda x: x["size"]).alias("sizes"), body.alias("data")).mapInArrow(finish, "samples long, n_bytes long, md5 string")
+@query
+def stream_movie(spark, sf_dir):
+    """The movie of packets that came through the stream: made when the stream has ended."""
+    from ..streaming.packets import stream_to_packets
+
+    config = Config(*SMALL)
+    packets = stream_to_packets(rgba(spark, sf_dir, config), config)
+    return _movies(packets, container.Movie(config), "samples long, n_bytes long, md5 string", lambda data, n: [(len(n), len(data), _md5(data))])
 
 
 @query
@@ -410,9 +498,10 @@ def agg11_pass_counts(spark, sf_dir):
 
 
 @query
-def agg12_crc(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("frame_idx"), F.octet_length("props").cast("long").alias("size"), F.col("props").cast("binary").alias("data"))
-    return stats.checksum(container.sample_index(rows, 1000).join(rows.select("frame_idx", "data"), "frame_idx"), "data").drop("data")
+def agg12_archive(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    files = events.select(F.col("event_id").alias("n"), F.format_string("take_%05d.json", F.col("event_id")).alias("name"), F.col("props").cast("binary").alias("data"))
+    return stats.archive_index(files, 1000)
 
 
 @query

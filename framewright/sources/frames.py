@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,26 @@ def synthetic_frames(ids: DataFrame, width: int, height: int) -> DataFrame:
     return ids.mapInArrow(run, FRAMES)
 
 
+def matte(x: Column, y: Column, frame: Column, width: int, height: int, fps: float) -> Column:
+    """A smooth alpha of full range that drifts diagonally, half a period a second."""
+    wave = F.sin(2 * math.pi * (x / width + y / height + frame / fps * 0.5))
+    return F.floor(128 + 127 * wave).cast("long").bitwiseAND(F.lit(255))
+
+
+def write_raw(frames: DataFrame, path: str) -> int:
+    """Writes frames, in order, as one flat file through Hadoop's file system; a partition at a time."""
+    spark = frames.sparkSession
+    target, size = spark._jvm.org.apache.hadoop.fs.Path(path), 0
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for row in frames.orderBy("frame_idx").select("rgba").toLocalIterator():
+            out.write(row["rgba"])
+            size += len(row["rgba"])
+    finally:
+        out.close()
+    return size
+
+
 def raw_frames(spark: SparkSession, path: str, config: Config, limit: int | None = None) -> DataFrame:
     """Frames of flat files of fixed-size records, one file or many in the order of their paths.
 

@@ -43,7 +43,7 @@ def flatten_metrics(metrics: DataFrame) -> DataFrame:
 def write_report(rows: DataFrame, path: str, kind: str) -> None:
     """Results as json, csv or parquet."""
     writer = rows.write.mode("overwrite")
-    {"json": writer.json, "parquet": writer.parquet, "csv": lambda p: writer.csv(p, header=True)}[kind](path)
+    {"json": writer.json, "parquet": writer.parquet, "csv": lambda p: writer.csv(p, header=True, quote='"', escape='"')}[kind](path)
 
 
 def markdown(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -58,3 +58,9 @@ def test_bits_of_the_windows_are_the_kernels(spark, sf_dir):
 def test_stream_equals_batch(spark, sf_dir):
     rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
     assert rows("stream_packets") == rows("bit8_frame_md5")
+
+
+@pytest.mark.parametrize(("one", "other"), [("src4_converted", "bit8_frame_md5"), ("src8_raw_file", "src1_frames"), ("stream_movie", "mux_movie")])
+def test_ways_to_the_same_bytes(spark, sf_dir, one, other):
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+    assert rows(one) == rows(other)
