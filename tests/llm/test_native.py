@@ -84,9 +84,10 @@ def test_as_of(spark):
 
 
 def test_rules_on_small_texts(spark):
-    clean = " ".join(f"word{i}" for i in range(40))
+    clean = " ".join(a + b for a in "abcde" for b in "fghijklm")  # figures would be made alike
+    own = lambda i: "unique " + "xyz"[i % 3] * (1 + i // 3) + " "
     common = "this very line is on nearly every page of the host " * 1
-    rows = [(i, "h", f"{common}\nunique {i} {clean} {i}", 0) for i in range(30)] + [(100 + i, "h", f"{common}\n{' '.join('abcdefghijklmnopqrs')}", 0) for i in range(3)]
+    rows = [(i, "h", f"{common}\n{own(i)}{clean}", 0) for i in range(30)] + [(100 + i, "h", f"{common}\n{' '.join('abcdefghijklmnopqrs')}", 0) for i in range(3)]
     rows += [(200, None, None, 0), (201, "h", "", 0), (202, "k", "x " * 5000, 0), (203, "h", "a b\n a b\na b\n\n\n", 0), (204, "k", " ".join(f"w{i % 8}" for i in range(24)), 0), (None, "k", clean, 0), (205, "k", clean, 0), (205, "k", clean, 0)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, hash int")
     got = collections.defaultdict(list)
@@ -161,12 +162,12 @@ def test_every_document_has_its_chance(spark):
     rows = [(i, s, " ".join(["w"] * 10)) for i, s in enumerate(["a"] * 100 + ["b"] * 100)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     taken = collections.Counter()
-    for seed in range(12):
+    for seed in range(6):
         mixing.SEED = 100 + seed
         taken.update({r["id"]: r["copies"] for r in mixing.mix(df).collect()})
     mixing.SEED = 8
-    share = [taken[i] / 12 for i in range(100)]
-    assert sum(share) / 100 == pytest.approx(2 / 3, abs=0.02) and max(share) <= 1 and sum(s in (0, 1) for s in share) < 20
+    share = [taken[i] / 6 for i in range(100)]
+    assert sum(share) / 100 == pytest.approx(2 / 3, abs=0.03) and max(share) <= 1 and sum(s in (0, 1) for s in share) < 45
 
 
 def test_digests_are_of_the_plain_texts(spark, sf_dir):
