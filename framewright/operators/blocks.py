@@ -21,11 +21,11 @@ def _product(u: int, values: list[Column], even_bits: int, odd_bits: int) -> Col
 def dct_rows(tiled: DataFrame) -> DataFrame:
     """(block, r, p0..p7): the first pass, a projection over a block row's eight samples.
 
-    The samples of a row meet in one aggregate with a map-side part, keyed by block alone, so the
-    second pass needs no further shuffle.
+    The samples of a row lie together in the input, so the map-side part of the aggregate leaves an
+    eighth of the rows to be shuffled; the second pass shuffles those once more, by block.
     """
     placed = [F.max(F.when((F.col("c") == c), F.col("v"))).alias(f"s{c}") for c in range(8)]
-    rows = tiled.repartition(*BLOCK).groupBy(*BLOCK, "r").agg(*placed)
+    rows = tiled.groupBy(*BLOCK, "r").agg(*placed)
     values = [F.col(f"s{c}") for c in range(8)]
     return rows.select(*BLOCK, "r", *(_product(u, values, 0, 12).alias(f"p{u}") for u in range(8)))
 

@@ -32,14 +32,23 @@ def dc_symbols(levels: DataFrame) -> DataFrame:
     return coded.withColumn("book", book).drop("raw")
 
 
-def ac_symbols(levels: DataFrame) -> DataFrame:
-    """Of the levels that aren't zero: run, run_context, level_context, from the entry before."""
-    order = Window.partitionBy(*PLANE).orderBy("pos")
+def _marked(levels: DataFrame) -> DataFrame:
+    """Adds coded and, for coded entries, run, run_context, level_context, from the coded entry before.
+
+    Entries of level zero are a window partition of their own: they are kept, and not looked at.
+    """
+    order = Window.partitionBy(*PLANE, "coded").orderBy("pos")
     before = lambda c, first, most: F.least(F.coalesce(F.lag(c).over(order), F.lit(first).cast("long")), F.lit(most).cast("long"))
-    runs = levels.where("level <> 0").withColumn("run", F.col("pos") - F.coalesce(F.lag("pos").over(order), F.lit(-1).cast("long")) - 1)
+    marked = levels.withColumn("coded", F.col("level") != 0)
+    runs = marked.withColumn("run", F.col("pos") - F.coalesce(F.lag("pos").over(order), F.lit(-1).cast("long")) - 1)
     return runs.withColumns({"run_context": before("run", 4, 15), "level_context": before("level", 2, 9)})
 
 
+def ac_symbols(levels: DataFrame) -> DataFrame:
+    """Of the levels that aren't zero: run, run_context, level_context."""
+    return _marked(levels.where("level <> 0")).drop("coded")
+
+
 def alpha_runs(alpha: DataFrame) -> DataFrame:
     """(slice, n, v, diff, run) from (slice, i, v): islands of equal alpha, and the wrapped difference to the one before."""
     keys = [c for c in alpha.columns if c not in ("i", "v")]
@@ -67,17 +76,15 @@ def ac_cost(levels: DataFrame) -> DataFrame:
     """(slice, plane, ac_bits, ac_error): the error is over all entries, the bits over those that are left."""
     run_book, level_book = lookup(RUN_BOOKS, F.col("run_context")), lookup(LEVEL_BOOKS, F.col("level_context"))
     bits = code_bits(run_book, F.col("run")) + code_bits(level_book, F.col("level") - 1) + 1
-    # entries of level zero take part in the error alone; the windows look at the others
-    coded = ac_symbols(levels).groupBy(*PLANE).agg(F.sum(bits).alias("ac_bits"))
-    error = levels.groupBy(*PLANE).agg(F.sum("rest").alias("ac_error"))
-    return error.join(coded, list(PLANE), "left").withColumn("ac_bits", F.coalesce("ac_bits", F.lit(0)).cast("long"))
+    coded = F.coalesce(F.sum(F.when(F.col("coded"), bits)), F.lit(0)).cast("long")
+    return _marked(levels).groupBy(*PLANE).agg(coded.alias("ac_bits"), F.sum("rest").alias("ac_error"))
 
 
 def plane_cost(dc: DataFrame, ac: DataFrame) -> DataFrame:
     """(slice, plane, bits, error): in whole bytes; a plane without AC entries has DC alone."""
-    both = dc.join(ac, list(PLANE), "left")
-    bits = F.col("dc_bits") + F.coalesce("ac_bits", F.lit(0))
-    return both.select(*PLANE, align(bits.cast("long"), 8).alias("bits"), (F.col("dc_error") + F.coalesce("ac_error", F.lit(0))).cast("long").alias("error"))
+    rows = dc.select(*PLANE, F.col("dc_bits").alias("bits"), F.col("dc_error").alias("error")).union(ac.select(*PLANE, "ac_bits", "ac_error"))
+    both = rows.groupBy(*PLANE).agg(F.sum("bits").alias("bits"), F.sum("error").alias("error"))
+    return both.select(*PLANE, align(F.col("bits").cast("long"), 8).alias("bits"), F.col("error").cast("long").alias("error"))
 
 
 def plane_bits(dc: DataFrame, ac: DataFrame) -> DataFrame:
