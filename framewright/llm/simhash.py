@@ -8,12 +8,13 @@ wildcarded the segments are equal. Every distinct fingerprint is indexed under t
 one-wildcard variants of its segments; an equality join on the variant brings candidates
 together, and each is verified on all 64 bits.
 
-No pairs are made within a variant's group. A variant with two members is one candidate pair,
-taken from the aggregate itself. Members of a larger group go on to the variants of what is
-still free (the wildcarded bit and the other segment, 33 bits): each member stands under its own
-free bits and under those with one of them flipped, so two members meet there exactly if they
-differ by two bits or fewer, and each group there gives a star around its smallest fingerprint. So
-the rows are 34 per member of a group, however large the group, and no link is lost.
+No pairs are made within a variant's group. A group of two is one candidate pair, taken from the
+aggregate itself. In larger groups of a wildcard, only members on the two sides of its bit are new to
+each other, and their other segments differ by one bit or none: one side goes on with its 33
+one-flip forms, and an equality join meets the other side. Members with a whole segment in common
+(an index entry of its own) go on with their 33 one-flip forms on both sides; two members share a
+form exactly if they differ by two bits or fewer, and each form gives a star around its smallest
+member. So the rows are 33 per member of a group, however large, and no link is lost.
 
 Defined results: null and empty texts, and texts of no words, have fingerprint zero and are
 linked like any other; fewer words than a shingle give one shingle of all; equal fingerprints
@@ -36,6 +37,8 @@ from .components import connected_components
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Shingles whose bits are counted at a time, for a bound on memory with very long texts.
 BLOCK = 65_536
+#: Variants with a larger group are sent to all tasks up to this many, about 16 MB.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -70,36 +73,59 @@ def with_fingerprint(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
 
 
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+
 def variants(fp: Column) -> Column:
-    """The 64 one-wildcard variants of the two segments: (bit, the segment without that bit)."""
-    low = lambda bit: F.lit(0xFFFFFFFF).cast("long").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
-    one = lambda bit: F.struct(bit.alias("bit"), fp.bitwiseAND(low(bit)).alias("rest"))
-    two = lambda bit: F.struct((bit + 32).alias("bit"), F.shiftrightunsigned(fp, 32).bitwiseAND(low(bit)).alias("rest"))
+    """(bit, rest): the 64 one-wildcard variants of the two segments, and both segments whole (bit 64 and 65)."""
+    low, high = fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)
+    without = lambda segment, bit: segment.bitwiseAND(F.bitwise_not(_bit(bit)))
     bits = F.sequence(F.lit(0), F.lit(31))
-    return F.concat(F.transform(bits, one), F.transform(bits, two))
+    one = F.transform(bits, lambda b: F.struct(b.alias("bit"), without(low, b).alias("rest")))
+    two = F.transform(bits, lambda b: F.struct((b + 32).alias("bit"), without(high, b).alias("rest")))
+    return F.concat(one, two, F.array(F.struct(F.lit(64).alias("bit"), low.alias("rest")), F.struct(F.lit(65).alias("bit"), high.alias("rest"))))
+
+
+def side(fp: Column, bit: Column) -> Column:
+    """The bit that a variant leaves out; null for a whole segment."""
+    return F.when(bit < 64, F.call_function("shiftright", fp, bit).bitwiseAND(F.lit(1).cast("long")))
 
 
-def free_variants(fp: Column, bit: Column) -> Column:
-    """The fingerprint's free bits beside the variant's segment, as they are and with one flipped."""
-    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
-    other = F.when(bit < 32, F.sequence(F.lit(32), F.lit(63))).otherwise(F.sequence(F.lit(0), F.lit(31)))
-    return F.concat(F.array(fp), F.transform(F.concat(F.array(bit), other), lambda b: fp.bitwiseXOR(one(b))))
+def near_other(fp: Column, bit: Column) -> Column:
+    """The fingerprint, and it with each bit of the segment that the variant is not of flipped."""
+    low = (bit < 32) | (bit == 64)
+    other = F.when(low, F.sequence(F.lit(32), F.lit(63))).otherwise(F.sequence(F.lit(0), F.lit(31)))
+    return F.concat(F.array(fp), F.transform(other, lambda b: fp.bitwiseXOR(_bit(b))))
 
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that connect all linked ones."""
-    index = lambda: fps.select("fp", F.explode(variants(F.col("fp"))).alias("v")).select("v.bit", "v.rest", "fp")
-    groups = index().groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    groups = scratch.write(groups, "groups")
+    spread_out = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a small table makes many rows here
+    index = lambda: spread_out.select("fp", F.explode(variants(F.col("fp"))).alias("v")).select("v.bit", "v.rest", "fp")
+    own = side(F.col("fp"), F.col("bit"))
+    groups = index().groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min(own).alias("low"), F.max(own).alias("high"))
+    # in a wildcard's group only the two sides of the bit are new to each other: equal segments meet whole
+    groups = scratch.write(groups.where("n > 1 AND (bit >= 64 OR low <> high)").select("bit", "rest", "n", "a", "b"), "groups")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
     pairs = groups.where("n = 2").where(near("a", "b")).select("a", "b")
-    large = scratch.write(index().join(groups.where("n > 2").select("bit", "rest"), ["bit", "rest"]).select("bit", "fp"), "large")
-    # a middle holds the fixed bits of its group, so the key needs no more than the bit and the middle
-    spread = large.select("bit", "fp", F.explode(free_variants(F.col("fp"), F.col("bit"))).alias("mid"))
-    hubs = spread.groupBy("bit", "mid").agg(F.min("fp").alias("hub"), F.max("fp").alias("far")).where("hub <> far")
+    shared = groups.where("n > 2").select("bit", "rest")
+    if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        shared = F.broadcast(shared)  # else Spark sorts both sides: the index is shuffled a second time
+    large = scratch.write(index().join(shared, ["bit", "rest"]).select("bit", "fp", own.alias("side")), "large")
+
+    # a segment in common: the others differ by two bits or fewer exactly if one flip each can make them equal
+    middles = large.where("bit >= 64").select("bit", "fp", F.explode(near_other(F.col("fp"), F.col("bit"))).alias("mid"))
+    hubs = middles.groupBy("bit", "mid").agg(F.min("fp").alias("hub"), F.max("fp").alias("far")).where("hub <> far")
     hubs = scratch.write(hubs.select("bit", "mid", "hub"), "hubs")
-    stars = spread.join(hubs, ["bit", "mid"]).where("fp <> hub").where(near("fp", "hub")).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    return scratch.write(pairs.union(stars).distinct(), "links")
+    stars = middles.join(hubs, ["bit", "mid"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+
+    # segments one bit apart: the others differ by one bit or none, so the set side, unset, meets the other by a flip
+    unset = F.col("fp").bitwiseXOR(_bit(F.col("bit")))
+    flips = large.where("side = 1").select("bit", F.col("fp").alias("a"), F.explode(near_other(unset, F.col("bit"))).alias("b"))
+    across = flips.join(large.where("side = 0").select("bit", F.col("fp").alias("b")), ["bit", "b"])
+    found = stars.union(across.select("a", "b")).where(near("a", "b"))
+    return scratch.write(pairs.union(found).distinct(), "links")
 
 
 def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
