@@ -10,7 +10,7 @@ import numpy as np
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM
 #: Window starts handled at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _LOW = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C17
 

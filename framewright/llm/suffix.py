@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import induce
 from .common import Scratch, table
 
-WIDE, DEALT, BATCH = 2048, 1024, 8192
+WIDE, DEALT, BATCH = 768, 512, 4096
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +142,10 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     span = lambda low, high: F.shiftleft((F.shiftright("place", 17) + low).cast("long"), 32) + F.shiftright("place", 17) + high
     some = mixed.select("did", "th", "place", "h", "s").join(spans, ["h", "s"]).select("did", "th", span(F.col("low"), F.col("high")).alias("span"))
     every = placed.where("NOT mixed").select("did", "th", span(F.lit(0), F.shiftright("place", 8).bitwiseAND(511)).alias("span"))
-    return scratch.write(some.union(every).groupBy("did", "th").agg(F.collect_list("span").alias("spans")), "spans")
+    out = scratch.write(some.union(every).groupBy("did", "th").agg(F.collect_list("span").alias("spans")), "spans")
+    for name in ("placed", "wide", "found", "shared"):
+        scratch.drop(name)
+    return out
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
