@@ -189,6 +189,8 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(), scratch).withColumnRenamed("vertex", "rep")
     linked = found.groupBy("rep").agg(F.sum("hits").alias("hits"))
     known = scratch.write(classes.join(linked, "rep", "left").join(parts, "rep", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("hits", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "known")
+    for name in ("classes", "described", "long", "found"):
+        scratch.drop(name)
     out = rows.join(known, ["label", "vec"], "left")
     alone = F.col("n_links").isNull() | F.col("id").isNull()
     return out.select("id", F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"))
