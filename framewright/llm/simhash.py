@@ -10,7 +10,7 @@ together, and each is verified on all 64 bits.
 
 No pairs are made within a variant's group. A group of two is one candidate pair, taken from the
 aggregate itself. In larger groups of a wildcard, only members on the two sides of its bit are new to
-each other, and their other segments differ by one bit or none: one side goes on with its 33
+each other, and their other segments differ by one bit or none: the smaller side goes on with its 33
 one-flip forms, and an equality join meets the other side. Members with a whole segment in common
 (an index entry of its own) go on with their 33 one-flip forms on both sides; two members share a
 form exactly if they differ by two bits or fewer, and each form gives a star around its smallest
@@ -104,15 +104,15 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     spread_out = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a small table makes many rows here
     index = lambda: spread_out.select("fp", F.explode(variants(F.col("fp"))).alias("v")).select("v.bit", "v.rest", "fp")
     own = side(F.col("fp"), F.col("bit"))
-    groups = index().groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min(own).alias("low"), F.max(own).alias("high"))
+    groups = index().groupBy("bit", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.sum(own).alias("ones"))
     # in a wildcard's group only the two sides of the bit are new to each other: equal segments meet whole
-    groups = scratch.write(groups.where("n > 1 AND (bit >= 64 OR low <> high)").select("bit", "rest", "n", "a", "b"), "groups")
+    groups = scratch.write(groups.where("n > 1 AND (bit >= 64 OR ones BETWEEN 1 AND n - 1)"), "groups")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS
     pairs = groups.where("n = 2").where(near("a", "b")).select("a", "b")
-    shared = groups.where("n > 2").select("bit", "rest")
+    shared = groups.where("n > 2").select("bit", "rest", F.when(2 * F.col("ones") <= F.col("n"), 1).otherwise(0).alias("few"))
     if shared.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         shared = F.broadcast(shared)  # else Spark sorts both sides: the index is shuffled a second time
-    large = scratch.write(index().join(shared, ["bit", "rest"]).select("bit", "fp", own.alias("side")), "large")
+    large = scratch.write(index().join(shared, ["bit", "rest"]).select("bit", "fp", (own == F.col("few")).alias("few")), "large")
 
     # a segment in common: the others differ by two bits or fewer exactly if one flip each can make them equal
     middles = large.where("bit >= 64").select("bit", "fp", F.explode(near_other(F.col("fp"), F.col("bit"))).alias("mid"))
@@ -120,10 +120,10 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     hubs = scratch.write(hubs.select("bit", "mid", "hub"), "hubs")
     stars = middles.join(hubs, ["bit", "mid"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
-    # segments one bit apart: the others differ by one bit or none, so the set side, unset, meets the other by a flip
-    unset = F.col("fp").bitwiseXOR(_bit(F.col("bit")))
-    flips = large.where("side = 1").select("bit", F.col("fp").alias("a"), F.explode(near_other(unset, F.col("bit"))).alias("b"))
-    across = flips.join(large.where("side = 0").select("bit", F.col("fp").alias("b")), ["bit", "b"])
+    # segments one bit apart: the others differ by one bit or none, so the side of fewer, turned over, meets the other by a flip
+    turned = F.col("fp").bitwiseXOR(_bit(F.col("bit")))
+    flips = large.where("few").select("bit", F.col("fp").alias("a"), F.explode(near_other(turned, F.col("bit"))).alias("b"))
+    across = flips.join(large.where("NOT few").select("bit", F.col("fp").alias("b")), ["bit", "b"])
     found = stars.union(across.select("a", "b")).where(near("a", "b"))
     return scratch.write(pairs.union(found).distinct(), "links")
 
