@@ -1,16 +1,24 @@
 """Operator 10: near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are vectors of the table, chosen by a hash. Each vector is described by
-its nearest pivots in order. The inverted lists stand under pairs of pivots: a vector is in the
-list of every pair among its ``NEAREST`` nearest, so two vectors meet in a list exactly if they
-share two pivots or more, and the number they share is counted from their descriptions. Those
-that share ``MIN_SHARED`` are verified by cosine in double precision; a pair is verified in the
-list of its two first shared pivots alone, so it counts once.
+Reference points (pivots) are vectors of the table, drawn by a hash; one that has a cosine of
+``APART`` or more with an earlier one is passed over, so a dense group holds one pivot however
+many vectors it has, and not its share of them.
+
+A vector within ``CORE`` of its nearest pivot is in that pivot's region, and all its links are found
+exactly: whatever is linked to it is at most the link's angle farther from the pivot, so every
+vector that near visits the region's list, and the list compares its own vectors with each other
+and with all visitors. Of two regions the one of the smaller pivot has the visitor.
+
+Vectors in no region are described by their nearest pivots in order. Inverted lists stand under
+pairs of pivots: a vector is in the list of every pair among its ``NEAREST`` nearest, so two vectors
+meet in a list exactly if they share two pivots or more, and the number they share is counted
+from their descriptions. Those that share ``MIN_SHARED`` are verified by cosine in double precision;
+a pair is verified in the list of its two first shared pivots alone, so it counts once.
 
 Equal vectors of a label are one vector with a multiplicity from the start. A list longer than
-``LIST_ROWS`` is dealt into blocks, and each pair of blocks is a task's group of its own, so no
-list is capped and none lands in one task. A group gives a row per vector (how many it is linked
-to, and one of its component within the group), not a row per pair.
+``LIST_ROWS`` (a region's than ``REGION_ROWS``) is dealt into blocks, and each pair of blocks is a
+task's group of its own, so no list is capped and none lands in one task. A group gives a row per
+vector (how many it is linked to, and one of its component within the group), not a row per pair.
 
 Links are within a label, over vectors of as many components. Vectors that are null, empty, zero
 or hold a null or non-finite component, and rows without a label, link with nothing. Repeated
@@ -36,6 +44,12 @@ NEAREST, MIN_SHARED = 8, 2
 #: Pivots for this many different vectors; their number grows as the root of the vectors', so lists do not.
 PIVOTS, PIVOTS_FOR, MOST_PIVOTS = 128, 10_000, 4096
 LIST_ROWS = 1024
+#: Pivots have a smaller cosine than this with each other, and are found among this many times their number.
+APART, CANDIDATES = 0.5, 4
+#: Cosine with its pivot from which a vector is in a region, and rows of a region compared in one group.
+CORE, REGION_ROWS = 3**0.5 / 2, 8192
+#: Rows of a region multiplied with all others at a time.
+STRIP = 256
 #: Rows compared at a time within a task.
 BATCH = 16_384
 
@@ -52,28 +66,56 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def describe(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(label, rep, n, dim, vec, near): vec holds the unit vector's doubles, near its nearest pivots in order."""
+def net(candidates: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """Of the candidates in order, up to ``most`` that are apart from all before them; those of a length are compared."""
+    chosen, units, count = [], {}, {}
+    for c in candidates:
+        if len(chosen) == most:
+            break
+        x, d = unit(c[None])[0], len(c)
+        have, k = units.setdefault(d, np.empty((16, d))), count.get(d, 0)
+        if k and (have[:k] @ x).max() >= APART:
+            continue
+        if k == len(have):
+            have = units[d] = np.concatenate([have, np.empty_like(have)])
+        have[k], count[d] = x, k + 1
+        chosen.append(c)
+    return chosen
+
+
+def describe(classes: DataFrame, pivots: list[np.ndarray], threshold: float) -> DataFrame:
+    """(label, rep, n, dim, vec, near, home, keys).
+
+    vec holds the unit vector's doubles, near its nearest pivots in order; home is the pivot of its
+    region or -1; keys are its lists, a region's has the pivot twice.
+    """
     of = {d: i for d in sorted({len(p) for p in pivots}) if len(i := [k for k, p in enumerate(pivots) if len(p) == d])}
     sent = classes.sparkSession.sparkContext.broadcast({d: (np.array(i), unit(np.stack([pivots[k] for k in i]))) for d, i in of.items()})
+    # no nearer than this to the pivot, a vector is linked to none of the region
+    visit = np.cos(min(np.pi, np.arccos(CORE) + np.arccos(np.clip(threshold, -1, 1)))) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(3).to_pylist()
-            vecs, near = [], []
+            vecs, near, home, keys = [], [], [], []
             for r in rows:
                 x = unit(np.array([r], dtype=np.float64))[0]
                 vecs.append(x.tobytes())
-                # of vectors of a length without pivots, all stand in one list
-                ids, points = sent.value.get(len(x), (np.arange(2), None))
-                if points is None or len(ids) < 2:
-                    near.append([0, 1])
-                    continue
+                ids, points = sent.value.get(len(x), (np.arange(0), np.zeros((0, len(x)))))
                 sims = points @ x
-                near.append(ids[np.lexsort((ids, -sims))[:NEAREST]].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(r) for r in rows], pa.int32()), pa.array(vecs, pa.binary()), pa.array(near, pa.list_(pa.int32()))], names=["label", "rep", "n", "dim", "vec", "near"])
+                order = np.lexsort((ids, -sims))[:NEAREST]
+                # of vectors of a length with one pivot or none, those in no region stand in one list
+                near.append(ids[order].tolist() if len(ids) > 1 else [0, 1])
+                inside = len(ids) > 0 and sims[order[0]] >= CORE
+                home.append(int(ids[order[0]]) if inside else -1)
+                lists = [int(p) * (MOST_PIVOTS + 1) for p in ids[sims >= visit] if not inside or p <= home[-1]]
+                if not inside:
+                    lists += [min(p, q) * MOST_PIVOTS + max(p, q) for p, q in combinations(near[-1], 2)]
+                keys.append(lists)
+            columns = [pa.array([len(r) for r in rows], pa.int32()), pa.array(vecs, pa.binary()), pa.array(near, pa.list_(pa.int32())), pa.array(home, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=["label", "rep", "n", "dim", "vec", "near", "home", "keys"])
 
-    return classes.mapInArrow(run, "label string, rep long, n long, dim int, vec binary, near array<int>")
+    return classes.mapInArrow(run, "label string, rep long, n long, dim int, vec binary, near array<int>, home int, keys array<long>")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,6 +159,24 @@ def verify(group: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndar
     return np.concatenate(found_a or none), np.concatenate(found_b or none)
 
 
+def verify_region(core: np.ndarray, block: np.ndarray, cross: bool, n: np.ndarray, vecs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hits, root) of the rows of one region's group: pairs of which one at least is of the region."""
+    hits, root = np.zeros(len(n), np.int64), np.arange(len(n))
+    for at in range(0, len(n), STRIP):
+        i = np.arange(at, min(at + STRIP, len(n)))
+        linked = (vecs[i] @ vecs.T >= threshold) & (core[i][:, None] | core)
+        if cross:
+            linked &= block[i][:, None] != block
+        linked[np.arange(len(i)), i] = False
+        hits[i] = linked @ n
+        a, b = np.nonzero(linked)
+        a, b = root[i[a]], root[b]
+        new = a != b
+        if new.any():
+            root = roots(len(n), a[new], b[new])[root]
+    return hits, root
+
+
 def search(lists: DataFrame, threshold: float) -> DataFrame:
     """(rep, hits, root) from groups: how many vectors each is linked to, and a vector it is connected with."""
 
@@ -128,10 +188,19 @@ def search(lists: DataFrame, threshold: float) -> DataFrame:
         group, rep, n = np.cumsum(new) - 1, get("rep").to_numpy(), get("n").to_numpy()
         near = np.stack([np.pad(np.array(x, np.int32), (0, NEAREST - len(x)), constant_values=np.iinfo(np.int32).max) for x in get("near").to_pylist()])
         hits, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for dim in np.unique(mark[:, 3]):
-            at = np.flatnonzero(mark[:, 3] == dim)
-            vecs = np.frombuffer(b"".join(get("vec").take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), dim)
-            a, b = verify(np.unique(group[at], return_inverse=True)[1], mark[at, 0], get("block").to_numpy()[at], mark[at, 1] != mark[at, 2], near[at], vecs, threshold)
+        home, block, cross = get("home").to_numpy(), get("block").to_numpy(), mark[:, 1] != mark[:, 2]
+        region = mark[:, 0] % (MOST_PIVOTS + 1) == 0
+        read = lambda at: np.frombuffer(b"".join(get("vec").take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
+        for first, last in zip(starts := np.flatnonzero(new), np.r_[starts[1:], len(rep)], strict=True):
+            core = home[first:last] == mark[first, 0] // (MOST_PIVOTS + 1)
+            if region[first] and last - first > 1 and core.any():
+                at = np.arange(first, last)
+                hits[at], found = verify_region(core, block[at], cross[first], n[at], read(at), threshold)
+                root[at] = at[found]
+        for dim in np.unique(mark[~region, 3]):
+            at = np.flatnonzero(~region & (mark[:, 3] == dim))
+            vecs = read(at)
+            a, b = verify(np.unique(group[at], return_inverse=True)[1], mark[at, 0], block[at], cross[at], near[at], vecs, threshold)
             np.add.at(hits, at[a], n[at[b]])
             np.add.at(hits, at[b], n[at[a]])
             root[at] = at[roots(len(at), a, b)]
@@ -162,7 +231,8 @@ def search(lists: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component) for each row.
 
-    The pivots, at most ``MOST_PIVOTS``, are the one thing that is collected and broadcast.
+    The pivots' candidates, at most ``CANDIDATES`` times ``MOST_PIVOTS``, are the one thing that is collected, and
+    the pivots the one that is broadcast.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -170,21 +240,21 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     good = rows.where(usable(F.col("vec"), F.col("label"))).where("id IS NOT NULL")
     # negative zero and zero are one value, as in a comparison
     classes = scratch.write(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    chosen = classes.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(pivot_count(classes.count())).collect()
-    pivots = [np.array(r["vec"], dtype=np.float64) for r in chosen]
-    described = scratch.write(describe(classes.select("label", "rep", "n", "vec"), pivots), "described")
+    chosen = classes.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(CANDIDATES * (most := pivot_count(classes.count()))).collect()
+    pivots = net([np.array(r["vec"], dtype=np.float64) for r in chosen], most)
+    described = scratch.write(describe(classes.select("label", "rep", "n", "vec"), pivots, threshold), "described")
 
-    pairs = [F.struct(F.least(F.get("near", F.lit(i)), F.get("near", F.lit(j))).alias("p"), F.greatest(F.get("near", F.lit(i)), F.get("near", F.lit(j))).alias("q"), (F.size("near") > j).alias("there")) for i, j in combinations(range(NEAREST), 2)]
-    keyed = described.select("*", F.explode(F.array(*pairs)).alias("pair")).where("pair.there").withColumn("key", F.col("pair.p").cast("long") * MOST_PIVOTS + F.col("pair.q")).drop("pair")
+    keyed = described.select("*", F.explode("keys").alias("key")).drop("keys")
     count = keyed.groupBy("label", "dim", "key").agg(F.count("*").alias("rows"))
-    long_lists = scratch.write(count.where(F.col("rows") > LIST_ROWS), "long")
-    blocks = F.ceil(F.coalesce("rows", F.lit(1)) / (LIST_ROWS // 2)).cast("int")
+    most = F.when(F.col("key") % (MOST_PIVOTS + 1) == 0, REGION_ROWS).otherwise(LIST_ROWS)
+    long_lists = scratch.write(count.where(F.col("rows") > most), "long")
+    blocks = F.ceil(F.coalesce("rows", F.lit(1)) / F.floor(most / 2)).cast("int")
     keyed = keyed.join(long_lists, ["label", "dim", "key"], "left").withColumn("blocks", F.when(F.col("rows").isNull(), 1).otherwise(blocks)).drop("rows")
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     both = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")
     dealt = keyed.select("*", both).withColumns({"one": F.least("block", "x"), "two": F.greatest("block", "x")})
     group = ["label", "dim", "key", "one", "two"]
-    lists = dealt.select("label", "key", "one", "two", "dim", "block", "rep", "n", "vec", "near").repartition(*group).sortWithinPartitions(*group, "rep")
+    lists = dealt.select("label", "key", "one", "two", "dim", "block", "rep", "n", "vec", "near", "home").repartition(*group).sortWithinPartitions(*group, "rep")
     found = scratch.write(search(lists, threshold), "found")
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(), scratch).withColumnRenamed("vertex", "rep")
     linked = found.groupBy("rep").agg(F.sum("hits").alias("hits"))

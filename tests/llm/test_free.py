@@ -347,6 +347,21 @@ def test_vectors_by_brute_force(spark, monkeypatch):
     assert sum(got[i][1] == expected[i][1] for i in got) >= 0.95 * len(got)
 
 
+def test_dense_groups_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    center = rng.normal(size=64)
+    hot = center / np.linalg.norm(center) + 0.2 * (noise := rng.normal(size=(700, 64))) / np.linalg.norm(noise, axis=1, keepdims=True)
+    edge = center / np.linalg.norm(center) + 0.5 * (noise := rng.normal(size=(100, 64))) / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate([*rng.normal(size=(200, 64)), *hot, *edge])]
+    expected = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for region, strip in ((embeddings.REGION_ROWS, embeddings.STRIP), (128, 50)):
+        monkeypatch.setattr(embeddings, "REGION_ROWS", region)
+        monkeypatch.setattr(embeddings, "STRIP", strip)
+        got = {r["id"]: (r["n_links"], r["component"]) for r in embeddings.near_vectors(df).collect()}
+        assert all(got[i] == expected[i] for i in range(900)) and min(got[i][0] for i in range(200, 900)) >= 500
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 0.0], None), (3, None, 1), (4, [], 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 0.0], 1), (8, [None, 1.0], 1), (9, [1.0, 0.0], 2), (10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.0], 1), (12, [-1.0, 0.0], 1), (13, [1e30, 0.0], 1)]
