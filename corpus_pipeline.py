@@ -26,11 +26,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """A 64-bit hash of the whole row as ``__key``, never null: only rows equal in all columns share one."""
+    return docs.withColumn("__key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+
+
+def once(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in ``keys`` (__key, n, any others), equal ones once; n says how many there are."""
+    both = lambda some: keyed.join(keys.where(some), "__key").drop("n")
+    out = both("n = 1")
+    if keys.where("n > 1").limit(1).count():  # else no text is shuffled for it
+        out = out.union(both("n > 1").distinct())
+    return out
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies one row, of the smallest id; null only if no row has an id."""
+    keyed = with_key(docs)
+    groups = simhash_groups(keyed.select("doc_id", "text", "__key"), keep=("__key",))
+    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("part", "__key").agg(F.count("*").alias("n"))
+    first = first.groupBy("part").agg(F.min(F.struct("__key", "n")).alias("x")).select("x.*")
+    return once(keyed, Scratch(spark, "kept").write(first, "keys")).select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +63,9 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select(F.col("id").alias("doc_id"), "copies").dropDuplicates(["doc_id"])
-    taken = docs.join(copies, "doc_id")
+    keyed = with_key(docs)
+    copies = mix(keyed, "__key").groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    taken = once(keyed, Scratch(spark, "copies").write(copies.where("copies > 0"), "keys"))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 

@@ -62,15 +62,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def with_fingerprint(docs: DataFrame, ident: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp) and the columns in ``keep``: fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *keep])
 
-    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), *keep).mapInArrow(run, ", ".join(["id long, fp long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)]))
 
 
 def _bit(n: Column) -> Column:
@@ -128,19 +128,22 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(pairs.union(found).distinct(), "links")
 
 
-def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp, component) for each row: component is the smallest id reachable by links."""
+def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, component) for each row: component is the smallest id reachable by links.
+
+    With ``keep`` also part, a fingerprint that tells groups apart whatever their ids, and those columns.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.write(with_fingerprint(docs, ident, text), "rows")
+    rows = scratch.write(with_fingerprint(docs, ident, text, keep), "rows")
     # equal fingerprints count once from here on
     fps = scratch.write(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps")
     parts = connected_components(links(fps.select("fp"), scratch), scratch)
     sets = scratch.write(fps.join(parts.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"), "least"), "sets")
     named = scratch.write(sets.groupBy("part").agg(F.min("least").alias("component")), "named")
-    classes = scratch.write(sets.join(named, "part").select("fp", "component"), "classes")
+    classes = scratch.write(sets.join(named, "part").select("fp", "component", *(["part"] if keep else [])), "classes")
     for name in ("groups", "large", "hubs", "links", "sets", "named", "fps"):
         scratch.drop(name)
-    return rows.join(classes, "fp").select("id", "fp", "component")
+    return rows.join(classes, "fp").select("id", "fp", "component", *(["part", *keep] if keep else []))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

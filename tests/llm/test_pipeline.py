@@ -1,6 +1,7 @@
 """The pipeline's stages, each against what it promises of its own input."""
 
 import collections
+import random
 
 import pytest
 
@@ -44,3 +45,23 @@ def test_run(spark, sf_dir, kept):
     rows = pipeline.run(spark, sf_dir).collect()
     key = lambda r: (r["doc_id"], r["ids_sha256"])
     assert sorted(map(key, rows)) == sorted(map(key, kept[-1]))
+
+
+def prose(seed: int, words: int = 120) -> str:
+    draw = random.Random(seed)
+    return " ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(words))
+
+
+def test_null_and_repeated_ids_go_through(spark, sf_dir):
+    rows = [(None, 1), (None, 2), (None, 2), (5, 3), (5, 4), (6, 5), (6, 5), (7, 5), (None, 3), (8, 6)]
+    docs = spark.createDataFrame([(i, prose(t), "en", "web", len(prose(t))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    want = sorted((str(i), prose(t)) for i, t in [(None, 1), (None, 2), (5, 3), (5, 4), (6, 5), (8, 6)])
+    alone = pipeline.simhash_stage(spark, docs, sf_dir)
+    assert key(alone) == want
+    cut = pipeline.suffix_stage(spark, alone, sf_dir)
+    assert key(cut) == want
+    # one source is taken as it is: each row once, equal rows as often as they are there
+    assert key(pipeline.mixing_stage(spark, cut, sf_dir)) == want
+    assert key(pipeline.mixing_stage(spark, docs, sf_dir)) == sorted((str(i), prose(t)) for i, t in rows)
+    assert pipeline.bpe_stage(spark, cut, sf_dir).count() == len(want)
