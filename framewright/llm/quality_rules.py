@@ -77,16 +77,21 @@ def quality_rules(docs: DataFrame, ident: str = "doc_id", host: str = "source",
     scratch = Scratch(docs.sparkSession, "quality")
     own = docs.select(F.col(ident).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
     lines = normal_lines(own, "id", "host", "text")
-    hosts = own.groupBy(F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n")).alias("host")).agg(F.count("*").alias("docs"))
+    of = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
+    hosts = own.groupBy(of.alias("host")).agg(F.count("*").alias("docs"))
     # a line counts once per document: the partial count sees a document's copies of it together
     once = lines.groupBy("host", "hash", "id", "mark").agg(F.sum("words").alias("words"))
+    # a row that is there several times is as many documents, each with its own words alone
+    several = scratch.write(own.groupBy(F.col("id").alias("rid"), F.xxhash64("text").alias("rmark"), of.alias("rhost")).agg(F.count("*").alias("rows")).where("rows > 1"), "several")
+    same = lambda df: df["id"].eqNullSafe(F.col("rid")) & (df["mark"] == F.col("rmark")) & (df["host"] == F.col("rhost"))
+    once = once.join(several, same(once), "left").select("host", "hash", "id", "mark", F.expr("words div coalesce(rows, 1)").alias("words"), F.coalesce("rows", F.lit(1)).alias("rows"))
     seen = scratch.write(once, "lines")
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    counts = seen.groupBy("host", "hash").agg(F.sum("rows").alias("n")).where(F.col("n") > min_docs)
     common = scratch.write(counts.join(hosts, "host").where(F.col("n") > max_share * F.col("docs")).select("host", "hash"), "common")
-    removed = scratch.write(seen.join(common, ["host", "hash"], "left_semi").groupBy("id", "mark").agg(F.sum("words").alias("n_common_words")), "removed")
+    removed = scratch.write(seen.join(common, ["host", "hash"], "left_semi").groupBy("id", "mark", "host").agg(F.sum("words").alias("n_common_words")), "removed")
     scratch.drop("lines")
-    base = base_rules(own.select("id", "text", F.xxhash64("text").alias("mark"))).drop("text")
-    both = base.join(removed.withColumnsRenamed({"id": "rid", "mark": "rmark"}), F.col("id").eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rmark")), "left")
+    base = base_rules(own.select("id", "text", F.xxhash64("text").alias("mark"), of.alias("host"))).drop("text")
+    both = base.join(removed.withColumnsRenamed({"id": "rid", "mark": "rmark", "host": "rhost"}), same(base), "left")
     common_words = F.coalesce("n_common_words", F.lit(0)).cast("long")
     left = F.col("n_words") - common_words
     kept = ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words"))

@@ -103,6 +103,15 @@ def test_rules_on_small_texts(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_documents_of_their_own(spark):
+    common = " ".join(f"c{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    own = lambda k: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for i in range(60))
+    rows = [(k, common + "\n" + own(k), "a") for k in range(9)] + [(9, common + "\n" + own(9), "a")] * 2 + [(9, common + "\n" + own(9), "b")]
+    got = [r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    # 11 documents of host a hold the line, one of host b
+    assert sorted((r["id"], r["n_common_words"], r["kept"]) for r in got) == sorted([*((k, 40, True) for k in range(9)), (9, 40, True), (9, 40, True), (9, 0, True)])
+
+
 def test_repeated_windows_by_brute_force(spark):
     import random
 
