@@ -54,9 +54,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A cut inside a character's bytes drops what is left of that character.
     """
-    left = remove_repeats(docs)
-    cut = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    text = F.when(F.col("n_removed") > 0, cut).otherwise(F.col("text"))
+    left = remove_repeats(docs, whole=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     kept = left.where((F.octet_length("kept") > 0) | (F.col("n_removed") == 0)).withColumn("text", text)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

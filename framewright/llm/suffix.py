@@ -148,16 +148,33 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` (all) with n_bytes, n_removed, n_spans and kept, the bytes that are left."""
+def whole_characters(piece: memoryview, head: bool, tail: bool) -> memoryview:
+    """A piece of UTF-8 without what is left of the characters cut at its head and tail."""
+    low, high = 0, len(piece)
+    while head and low < min(high, 3) and piece[low] & 0xC0 == 0x80:
+        low += 1
+    for k in range(1, min(4, high - low + 1) if tail else 1):
+        byte = piece[high - k] & 0xFF  # Arrow buffers are of signed bytes
+        if byte & 0xC0 != 0x80:
+            if k < (byte >= 0xC0) + (byte >= 0xE0) + (byte >= 0xF0) + 1:
+                high -= k
+            break
+    return piece[low:high]
+
+
+def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """The columns in ``keep`` (all) with n_bytes, n_removed, n_spans and kept, the bytes that are left.
+
+    With ``whole`` kept has no parts of characters that a removed span has cut.
+    """
     scratch = Scratch(docs.sparkSession, "suffix")
     did = F.coalesce(F.col(ident).cast("long"), F.lit(0))
     th = F.hash(F.col(ident).isNull(), F.col(text))
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     spans = repeated_spans(docs.select(did.alias("did"), th.alias("th"), data.alias("data")), scratch)
     own = [c for c in (keep if keep is not None else docs.columns) if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    whole = docs.select(*own, did.alias("__did"), th.alias("__th"), data.alias("__data"))
-    both = whole.join(spans.withColumnsRenamed({"did": "__did", "th": "__th", "spans": "__spans"}), ["__did", "__th"], "left")
+    rows = docs.select(*own, did.alias("__did"), th.alias("__th"), data.alias("__data"))
+    both = rows.join(spans.withColumnsRenamed({"did": "__did", "th": "__th", "spans": "__spans"}), ["__did", "__th"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +188,9 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
                     new = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
                     view = memoryview(value)
                     for a, b in zip(low[new].tolist(), high[np.r_[new[1:], len(high)] - 1].tolist(), strict=True):
-                        left.append(view[at:a])
+                        left.append(whole_characters(view[at:a], at > 0, True) if whole else view[at:a])
                         gone, n, at = gone + b - a, n + 1, b
-                    left.append(view[at:])
+                    left.append(whole_characters(view[at:], at > 0, False) if whole else view[at:])
                     kept.append(b"".join(left))
                 else:
                     kept.append(value.to_pybytes())

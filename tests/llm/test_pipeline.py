@@ -65,3 +65,12 @@ def test_null_and_repeated_ids_go_through(spark, sf_dir):
     assert key(pipeline.mixing_stage(spark, cut, sf_dir)) == want
     assert key(pipeline.mixing_stage(spark, docs, sf_dir)) == sorted((str(i), prose(t)) for i, t in rows)
     assert pipeline.bpe_stage(spark, cut, sf_dir).count() == len(want)
+
+
+def test_cuts_drop_no_replacement_character(spark, sf_dir):
+    passage = "".join(chr(0x4E00 + i) for i in range(100))
+    # of one character before the passage and one after it the texts share some bytes
+    rows = [(1, "own � mark 日" + passage + "é end �"), (2, "x 嗥" + passage + "è y"), (3, "� alone")]
+    docs = spark.createDataFrame([(i, t, "zh", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.suffix_stage(spark, docs, sf_dir).collect()}
+    assert got == {i: (t, len(t)) for i, t in [(1, "own � mark  end �"), (2, "x  y"), (3, "� alone")]}
