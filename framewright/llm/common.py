@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,15 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def words(text: Column) -> Column:
     """The words of a text, none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is set."""
+    """The folder that driver and executors share; one of its own only where none is set and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
         spark.sparkContext.setCheckpointDir(found := tempfile.mkdtemp(prefix="framewright-"))
     return found.rstrip("/")
 
@@ -39,14 +47,21 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_but(self, *kept: str) -> None:
+        """Drops all tables but those named."""
+        for name in dict.fromkeys(self.names):
+            if name not in kept:
+                self.drop(name)
+
     def drop(self, name: str = "") -> None:
         try:
             jvm = self.spark._jvm

@@ -9,6 +9,8 @@ import numpy as np
 #: Length of a repeat; length of an anchor; how far an anchor can stand from a window's start.
 SPAN, GRAM = 200, 64
 REACH = SPAN - GRAM
+#: Parts into which a level of the recursion cuts a group's windows.
+FAN = 4
 #: Window starts handled at a time.
 BLOCK = 1 << 18
 _LOW = np.uint64((1 << 20) - 1)
@@ -112,12 +114,42 @@ def least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
-def induce(group: np.ndarray, copies: np.ndarray, d: np.ndarray, size: np.ndarray, chars: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+def parts(d: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces of snippets for the next level of the recursion: (row, offset, d, size, low, high, group, s).
+
+    A group's windows start low to high bytes before its anchor; that range is cut into FAN parts,
+    low and high are a part's own. All windows of a part that equal each other have its core, the
+    bytes from ``low`` before the anchor to SPAN - high after it, so the core's hash is the part's
+    group. A piece is what a snippet has of a part: the bytes of its windows in that range.
+    """
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(byte_codes()[flat] * powers(_BASE, len(flat)), out=sums[1:])
+    back = _inverse(len(flat) + 1)
+    hashed = lambda at, n: (sums[at + n] - sums[at]) * back[at]
+    least, width = d - (size - SPAN), -(-(high - low + 1) // FAN)
+    out: list[tuple[np.ndarray, ...]] = []
+    for k in range(FAN):
+        a = low + k * width
+        b = np.minimum(a + width - 1, high)
+        from_, to = np.maximum(a, least), np.minimum(b, d)
+        r = np.flatnonzero((from_ <= to) & (a <= high))
+        if not len(r):
+            continue
+        a, b, from_, to = a[r], b[r], from_[r], to[r]
+        anchor = (ends - size + d)[r]
+        core = mix(hashed(anchor - a, SPAN - (b - a)) ^ ((a << 16 | b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        n = SPAN + to - from_
+        s = mix(hashed(anchor - to, n) + (n << 9 | to).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out.append((r, d[r] - to, to, n, a, b, core.view(np.int64), s.view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def induce(group: np.ndarray, copies: np.ndarray, d: np.ndarray, size: np.ndarray, chars: np.ndarray) -> np.ndarray:
     """Sorts all suffixes that start at or before the anchors of snippets, group by group.
 
     group: ascending numbers of the groups, whose members share their anchor's text. copies: how
     often a snippet occurs. chars: (2 * SPAN - GRAM, rows) bytes, aligned so that the anchor is at
-    REACH. wide: snippets of groups that are dealt over tasks.
+    REACH.
 
     The suffixes at the anchors are sorted outright. Those one byte before are then induced: the
     tuples (byte, rank of the next suffix) are sorted by a stable distribution on the byte, and a
@@ -125,7 +157,7 @@ def induce(group: np.ndarray, copies: np.ndarray, d: np.ndarray, size: np.ndarra
     ranks that both come from. Windows whose common prefix reaches SPAN occur elsewhere.
 
     Returns marks (rows, REACH + 1): whether the window at that offset from the snippet's start
-    occurs more than once; and the different windows of wide snippets: (row, offset, hash, single).
+    occurs more than once.
     """
     rows = len(group)
     last = d - (size - SPAN)  # windows start from d bytes before the anchor to ``last`` before
@@ -148,11 +180,6 @@ def induce(group: np.ndarray, copies: np.ndarray, d: np.ndarray, size: np.ndarra
     marks = np.zeros((rows, REACH + 1), bool)
     number = (group - group[0]).astype(np.int64)
     short = number.astype(np.uint16) if number[-1] < 1 << 16 else number
-    out: list[tuple[np.ndarray, ...]] = []
-    some = wide.any()
-    if some:
-        sums = np.zeros((len(chars) + 1, rows), np.uint64)
-        np.cumsum(byte_codes()[chars] * powers(_BASE, len(chars))[:, None], axis=0, out=sums[1:])
     for step in range(REACH + 1):
         if step:
             keep = np.flatnonzero(d[order] >= step)
@@ -174,10 +201,4 @@ def induce(group: np.ndarray, copies: np.ndarray, d: np.ndarray, size: np.ndarra
         own = np.flatnonzero(last[order] <= step)
         rows_own = order[own]
         marks[rows_own, d[rows_own] - step] = twice[own]
-        if some:
-            pick = own[wide[rows_own] & ~full[own]]
-            r, at = order[pick], REACH - step
-            h = mix((sums[at + SPAN, r] - sums[at, r]) * _inverse(len(chars))[at] + np.uint64(step))
-            out.append((r, d[r] - step, h.view(np.int64), ~twice[pick]))
-    none = tuple(np.zeros(0, np.int64) for _ in range(4))
-    return marks, tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
+    return marks

@@ -13,14 +13,20 @@ or another. No text or shard is ever sorted whole:
 3. In each, the suffixes at the anchors are sorted with their common prefixes, and all suffixes
    before them are induced from those, byte by byte (``induce.induce``).
 
-An anchor with more than ``WIDE`` different snippets (a passage that a third of all documents
-share has as many contexts) is dealt over tasks by the snippet's hash; windows that are single
-within a task are then matched over tasks by their hashes, in one aggregate. Copies never meet in
-one task: they are counted before the shuffle. Snippets are told apart by two 64-bit hashes.
+An anchor with more than ``WIDE`` different snippets (a passage that a third of all documents share
+has as many contexts) recurs: its windows are cut into parts by how far before the anchor they
+start, and the windows of a part have a longer text in common (64 bytes, then 166, 192, 198 and the
+whole 200), which is the anchor of the next level (``induce.parts``). A level's tuples are a table on disk:
+the group, the piece, its copies, and the range of starts that gives its common prefix. On each
+level pieces whose anchor occurs once are done, and so are those whose anchor has one context
+alone; equal ones are counted as one; a group that is still wide goes on, others go to the
+shards. So a level has ``FAN`` rows at most for each piece, a task never has more than ``WIDE`` rows of a
+group, and copies never meet in one task: they are counted before the shuffle. Spans found on a
+level are carried back up through its table. Snippets are told apart by two 64-bit hashes.
 
 Defined results: null text is empty; texts shorter than ``SPAN`` lose nothing; repeated rows are
 texts of their own, so they repeat each other; rows of one id and one text get one result each;
-an empty table gives no rows; other columns are kept.
+an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import induce
-from .common import Scratch, table
+from .common import Scratch, column, table
 
-WIDE, DEALT, BATCH = 768, 512, 4096
+#: Different snippets of a group beyond which it recurs; snippets in memory at a time.
+WIDE, BATCH = 256, 4096
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,30 +73,40 @@ def snippets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "did long, th int, place long, h long, s long")
 
 
-def sort_shards(shards: DataFrame) -> DataFrame:
-    """From (h, salt, wide, s, n, d, size, data), a group's rows together: rows (h, s, low, high, window, single).
+def cut_up(wide: DataFrame) -> DataFrame:
+    """A level of the recursion: from (h, s, n, d, size, low, high, data) rows (ph, ps, off, h, s, n, d, size, low, high, data)."""
 
-    Rows without a window are spans of a snippet that repeat; those with one are the different
-    windows of a wide anchor in this task, low is the window's start in its snippet.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, s, n, *shape = (batch.column(c).to_numpy() for c in ("h", "s", "n", "d", "size", "low", "high"))
+            flat, ends = _flat(batch.column("data"))
+            row, off, d, size, low, high, group, own = induce.parts(*(x.astype(np.int64) for x in shape), flat, ends)
+            at = (ends - shape[1])[row] + off
+            data = [flat[a : a + k].tobytes() for a, k in zip(at.tolist(), size.tolist(), strict=True)]
+            small = [pa.array(x.astype(np.int32)) for x in (d, size, low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(s[row]), pa.array(off.astype(np.int32)), pa.array(group), pa.array(own), pa.array(n[row]), *small, pa.array(data, pa.binary())], names=["ph", "ps", "off", "h", "s", "n", "d", "size", "low", "high", "data"])
+
+    return wide.mapInArrow(run, "ph long, ps long, off int, h long, s long, n long, d int, size int, low int, high int, data binary")
+
+
+def sort_shards(shards: DataFrame) -> DataFrame:
+    """From (h, s, n, d, size, data), a group's rows together: the spans of a snippet that repeat, (h, s, begin, end)."""
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda c: rows.column(c).combine_chunks()
         h, s, n, d, size = (get(c).to_numpy() for c in ("h", "s", "n", "d", "size"))
-        salt, wide = get("salt").to_numpy(), get("wide").to_numpy(zero_copy_only=False)
-        group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+        group = np.cumsum(np.r_[True, h[1:] != h[:-1]])
         flat, ends = _flat(get("data"))
         row = np.repeat(np.arange(len(h)), size)
-        column = np.arange(len(flat)) - (ends - size)[row] + (induce.REACH - d)[row]
+        place = np.arange(len(flat)) - (ends - size)[row] + (induce.REACH - d)[row]
         chars = np.zeros((2 * induce.SPAN - induce.GRAM, len(h)), np.uint8)
-        chars[column, row] = flat
-        marks, (r, at, window, single) = induce.induce(group, n, d.astype(np.int64), size.astype(np.int64), chars, wide)
+        chars[place, row] = flat
+        marks = induce.induce(group, n, d.astype(np.int64), size.astype(np.int64), chars)
         edge = np.diff(np.pad(marks, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        begin, end = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        of = np.r_[begin[0], r]
-        low, high = np.r_[begin[1], at], np.r_[end[1] - 1 + induce.SPAN, at + induce.SPAN]
-        shown = pa.array(np.r_[np.zeros(len(begin[0]), np.int64), window], mask=np.arange(len(of)) < len(begin[0]))
-        yield pa.RecordBatch.from_arrays([pa.array(h[of]), pa.array(s[of]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), shown, pa.array(np.r_[np.zeros(len(begin[0]), bool), single.astype(bool)])], names=["h", "s", "low", "high", "window", "single"])
+        (of, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        yield pa.RecordBatch.from_arrays([pa.array(h[of]), pa.array(s[of]), pa.array(begin.astype(np.int32)), pa.array((end - 1 + induce.SPAN).astype(np.int32))], names=["h", "s", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -99,8 +117,8 @@ def sort_shards(shards: DataFrame) -> DataFrame:
             if have < BATCH:
                 continue
             rows = pa.Table.from_batches(held)
-            h, salt = rows.column("h").to_numpy(), rows.column("salt").to_numpy()
-            cuts = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
+            h = rows.column("h").to_numpy()
+            cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
             at = 0
             while len(more := cuts[cuts >= at + BATCH]) or len(cuts) and cuts[-1] > at:  # up to the last group, which may go on
                 cut = int(more[0]) if len(more) else int(cuts[-1])
@@ -110,7 +128,41 @@ def sort_shards(shards: DataFrame) -> DataFrame:
         if have:
             yield from compare(pa.Table.from_batches(held))
 
-    return shards.mapInArrow(run, "h long, s long, low int, high int, window long, single boolean")
+    return shards.mapInArrow(run, "h long, s long, begin int, end int")
+
+
+def recur(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spans (h, s, begin, end) of the pieces (h, s, n, d, size, data), all different and of mixed anchors."""
+    shape = ["h", "s", "n", "d", "size", "data"]
+    open_ = pieces.withColumns({"low": F.lit(0), "high": F.lit(induce.REACH)})
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    narrow: list[DataFrame] = []
+    while True:
+        level = len(levels)
+        different = open_.groupBy("h").agg(F.count("*").alias("different"))
+        wide = scratch.write(different.where(F.col("different") > WIDE).select("h"), f"wide-{level}")
+        if not wide.limit(1).count():
+            narrow.append(open_.select(*shape))
+            break
+        narrow.append(scratch.write(open_.join(wide, "h", "left_anti").select(*shape), f"narrow-{level}"))
+        cut = scratch.write(cut_up(open_.join(wide, "h", "left_semi").select("h", "s", "n", "d", "size", "low", "high", "data")), f"cut-{level}")
+        seen = cut.groupBy("h").agg(F.sum("n").alias("all"), F.min("s").alias("first"), F.max("s").alias("last")).where(F.col("all") > 1)
+        seen = scratch.write(seen.select("h", (F.col("first") != F.col("last")).alias("mixed")), f"seen-{level}")
+        levels.append((cut.select("ph", "ps", "off", "h", "s", "size"), seen))
+        mixed = cut.join(seen.where("mixed").select("h"), "h", "left_semi")
+        open_ = scratch.write(mixed.groupBy("h", "s").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("d", "size", "data", "low", "high"))), f"open-{level}")
+    shards = narrow[0]
+    for more in narrow[1:]:
+        shards = shards.unionByName(more)
+    # the external sort: each task merges its runs on disk in order, and streams them
+    found = scratch.write(sort_shards(shards.repartition("h").sortWithinPartitions("h", "s")), "found")
+    up = found
+    for cut, seen in reversed(levels):
+        lifted = up.join(cut, ["h", "s"]).select(F.col("ph").alias("h"), F.col("ps").alias("s"), (F.col("begin") + F.col("off")).alias("begin"), (F.col("end") + F.col("off")).alias("end"))
+        every = cut.join(seen.where("NOT mixed").select("h"), "h", "left_semi").select(F.col("ph").alias("h"), F.col("ps").alias("s"), F.col("off").alias("begin"), (F.col("off") + F.col("size")).alias("end"))
+        up = scratch.write(lifted.union(every).union(found).distinct(), f"up-{level}")
+        level -= 1
+    return up
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -122,29 +174,21 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("often")
     mixed = placed.where("mixed")
     one = scratch.write(mixed.groupBy("h", "s").agg(F.count("*").alias("n"), F.first("did").alias("did"), F.first("th").alias("th"), F.first("place").alias("place")), "one")
-    wide = scratch.write(one.groupBy("h").agg(F.count("*").alias("different")).where(F.col("different") > WIDE), "wide")
 
     wanted = one.groupBy("did", "th").agg(F.collect_list(F.struct("h", "s", "n", "place")).alias("wanted"))
     start, size, d = F.shiftright("w.place", 17), F.shiftright("w.place", 8).bitwiseAND(511), F.col("w.place").bitwiseAND(255)
     fetched = texts.join(wanted, ["did", "th"]).select("data", F.explode("wanted").alias("w"))
-    # of one id and text there may be several rows: each gives the same bytes, one is enough
     fetched = fetched.select("w.h", "w.s", "w.n", d.cast("int").alias("d"), size.cast("int").alias("size"), F.substring("data", (start + 1).cast("int"), size.cast("int")).alias("data"))
-    fetched = fetched.join(wide, "h", "left").withColumn("wide", F.col("different").isNotNull())
-    shards = fetched.withColumn("salt", F.when(F.col("wide"), F.pmod(F.col("s"), F.ceil(F.col("different") / DEALT))).otherwise(F.lit(0)).cast("long"))
-    shards = shards.select("h", "salt", "wide", "s", "n", "d", "size", "data").repartition("h", "salt").sortWithinPartitions("h", "salt", "s")
-    found = scratch.write(sort_shards(shards), "found")
+    # of one id and text there may be several rows: each gives the same bytes, one is enough
+    pieces = scratch.write(fetched.groupBy("h", "s").agg(*(F.first(c).alias(c) for c in ("n", "d", "size", "data"))), "pieces")
     scratch.drop("one")
+    spans = recur(pieces, scratch)
 
-    windows = found.where("window IS NOT NULL")
-    shared = scratch.write(windows.groupBy("h", "window").agg(F.count("*").alias("n")).where("n > 1").select("h", "window"), "shared")
-    over = windows.where("single").join(shared, ["h", "window"]).select("h", "s", "low", "high")
-    spans = found.where("window IS NULL").select("h", "s", "low", "high").union(over)
     span = lambda low, high: F.shiftleft((F.shiftright("place", 17) + low).cast("long"), 32) + F.shiftright("place", 17) + high
-    some = mixed.select("did", "th", "place", "h", "s").join(spans, ["h", "s"]).select("did", "th", span(F.col("low"), F.col("high")).alias("span"))
+    some = mixed.select("did", "th", "place", "h", "s").join(spans, ["h", "s"]).select("did", "th", span(F.col("begin"), F.col("end")).alias("span"))
     every = placed.where("NOT mixed").select("did", "th", span(F.lit(0), F.shiftright("place", 8).bitwiseAND(511)).alias("span"))
     out = scratch.write(some.union(every).groupBy("did", "th").agg(F.collect_list("span").alias("spans")), "spans")
-    for name in ("placed", "wide", "found", "shared"):
-        scratch.drop(name)
+    scratch.drop_but("spans")
     return out
 
 
@@ -168,18 +212,18 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
     With ``whole`` kept has no parts of characters that a removed span has cut.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
-    did = F.coalesce(F.col(ident).cast("long"), F.lit(0))
-    th = F.hash(F.col(ident).isNull(), F.col(text))
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    did = F.coalesce(column(ident).cast("long"), F.lit(0))
+    th = F.hash(column(ident).isNull(), column(text))
+    data = F.coalesce(column(text), F.lit("")).cast("binary")
     spans = repeated_spans(docs.select(did.alias("did"), th.alias("th"), data.alias("data")), scratch)
     own = [c for c in (keep if keep is not None else docs.columns) if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    rows = docs.select(*own, did.alias("__did"), th.alias("__th"), data.alias("__data"))
-    both = rows.join(spans.withColumnsRenamed({"did": "__did", "th": "__th", "spans": "__spans"}), ["__did", "__th"], "left")
+    rows = docs.select(did.alias("did"), th.alias("th"), F.struct(*map(column, own)).alias("own"), data.alias("data"))
+    both = rows.join(spans, ["did", "th"], "left").select("own", "data", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, kept = [], [], [], []
-            for value, found in zip(batch.column(len(own)), batch.column(len(own) + 1), strict=True):
+            for value, found in zip(batch.column(1), batch.column(2), strict=True):
                 value = value.as_buffer()
                 left, gone, n, at = [], 0, 0, 0
                 if found.is_valid:
@@ -197,10 +241,11 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
                 sizes.append(value.size)
                 removed.append(gone)
                 runs.append(n)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(own))), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(kept, pa.binary())], names=[*own, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(kept, pa.binary())], names=["own", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "n_bytes long, n_removed long, n_spans long, kept binary"])
-    return both.select(*own, "__data", "__spans").mapInArrow(run, schema)
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    schema = T.StructType([T.StructField("own", rows.schema["own"].dataType), *counts, T.StructField("kept", T.BinaryType())])
+    return both.mapInArrow(run, schema).select("own.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

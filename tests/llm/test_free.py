@@ -57,15 +57,54 @@ def test_repeats_by_brute_force(spark):
     check_repeats(spark, texts)
 
 
-def test_wide_anchors_are_dealt_over_tasks(spark, monkeypatch):
+def test_wide_anchors_recur(spark, monkeypatch):
     monkeypatch.setattr(suffix, "WIDE", 4)
-    monkeypatch.setattr(suffix, "DEALT", 2)
     draw = random.Random(3)
     passage = "".join(draw.choice("abcdefgh ") for _ in range(230))
     texts = ["".join(draw.choice("klmnop ") for _ in range(draw.randrange(5, 150))) + passage + "".join(draw.choice("qrstuv ") for _ in range(draw.randrange(5, 150))) for _ in range(40)]
     check_repeats(spark, texts + near_copies(draw, 12, 500))
 
 
+def test_every_group_can_recur(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "WIDE", 0)
+    draw = random.Random(6)
+    check_repeats(spark, near_copies(draw, 14, 420) + ["a" * 600, "ab" * 200, "x" * 250 + "a" * 300])
+
+
+def test_parts_cover_each_window_once():
+    draw = np.random.default_rng(5)
+    size = draw.integers(200, 337, 60)
+    d = np.array([draw.integers(n - 200, 137) for n in size])
+    flat = draw.integers(0, 2, size.sum()).astype(np.uint8)
+    ends = np.cumsum(size)
+    low, high = np.zeros(60, np.int64), np.full(60, 136)
+    for _ in range(5):
+        row, off, d2, n2, low2, high2, group, s = induce.parts(d, size, low, high, flat, ends)
+        seen = collections.Counter()
+        core: dict = {}
+        for i in range(len(row)):
+            for j in range(n2[i] - 199):
+                seen[row[i], off[i] + j] += 1
+                assert low2[i] <= d2[i] - j <= high2[i]
+            at = (ends - size)[row[i]] + off[i]
+            text = bytes(flat[at + d2[i] - low2[i] : at + d2[i] - high2[i] + 200])
+            assert core.setdefault(group[i], (low2[i], high2[i], text)) == (low2[i], high2[i], text)
+        assert len(set(core.values())) == len(core)
+        assert seen == {(r, j): 1 for r in range(len(size)) for j in range(size[r] - 199)}
+        keep = [flat[(ends - size)[r] + o : (ends - size)[r] + o + n] for r, o, n in zip(row, off, n2, strict=True)]
+        flat, ends, size, d, low, high = np.concatenate(keep), np.cumsum(n2), n2, d2, low2, high2
+    assert (low == high).all()
+
+
+def test_any_column_names(spark):
+    text = "".join(random.Random(8).choice("abcdefgh ") for _ in range(300))
+    df = spark.createDataFrame([(1, text, 7), (2, text, 8)], "doc_id long, text string, __did int").withColumn("a.b", F.lit("x")).withColumn("own", F.lit("y"))
+    got = suffix.remove_repeats(df)
+    assert got.columns == [*df.columns, "n_bytes", "n_removed", "n_spans", "kept"] and {r["n_removed"] for r in got.collect()} == {300}
+    langs = df.withColumn("lang", F.lit("en"))
+    assert language.identify(langs, F.lit(True)).columns == [*langs.columns, "lang_pred", "score"]
+
+
 def test_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(induce, "BLOCK", 128)
     monkeypatch.setattr(suffix, "BATCH", 8)
