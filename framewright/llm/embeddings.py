@@ -22,8 +22,9 @@ vector (how many it is linked to, and one of its component within the group), no
 
 Links are within a label, over vectors of as many components. Vectors that are null, empty, zero
 or hold a null or non-finite component, and rows without a label, link with nothing. Repeated
-rows are vectors of their own; a null id is kept and names no component unless it is alone; an
-empty table gives no rows.
+rows and ids are vectors of their own: a class of equal vectors has a number of its own, and ids
+only name the components in the end. A null id links like any other, but names no component: one
+without another id has the component null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ APART, CANDIDATES = 0.5, 4
 CORE, REGION_ROWS = 3**0.5 / 2, 8192
 #: Rows of a region multiplied with all others at a time.
 STRIP = 256
-#: Rows compared at a time within a task.
-BATCH = 16_384
+#: Rows compared at a time within a task; groups of more rows than ``SMALL`` are each one product of matrices.
+BATCH, SMALL = 16_384, 16
 
 
 def usable(vector: Column, label: Column) -> Column:
@@ -141,22 +142,33 @@ def verify(group: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndar
 
     cross: the group holds two blocks, and only pairs of both are its own.
     """
-    n, found_a, found_b, longest = len(group), [], [], int(np.bincount(group).max(initial=0))
-    for step in range(1, longest):
-        i = np.flatnonzero((group[step:] == group[:-step]) & ((block[step:] != block[:-step]) | ~cross[step:]))
-        if not len(i):
-            continue
-        j = i + step
-        ok = np.einsum("ij,ij->i", vecs[i], vecs[j]) >= threshold
-        i, j = i[ok], j[ok]
+    size = np.bincount(group)
+    few = size[group] <= SMALL
+    found_a, found_b = [], []
+    for step in range(1, int(size[size <= SMALL].max(initial=0))):
+        i = np.flatnonzero(few[step:] & (group[step:] == group[:-step]) & ((block[step:] != block[:-step]) | ~cross[step:]))
         if len(i):
-            shared = np.where((near[i][:, :, None] == near[j][:, None, :]).any(axis=2), near[i], np.iinfo(np.int32).max)
-            shared.sort(axis=1)
-            own = ((shared < MOST_PIVOTS).sum(axis=1) >= MIN_SHARED) & (shared[:, 0].astype(np.int64) * MOST_PIVOTS + shared[:, 1] == key[i])
-            found_a.append(i[own])
-            found_b.append(j[own])
+            ok = np.einsum("ij,ij->i", vecs[i], vecs[i + step]) >= threshold
+            found_a.append(i[ok])
+            found_b.append(i[ok] + step)
+    first = np.cumsum(size) - size
+    for g in np.flatnonzero(size > SMALL):
+        rows = slice(first[g], first[g] + size[g])
+        linked = np.triu(vecs[rows] @ vecs[rows].T >= threshold, 1)
+        if cross[rows.start]:
+            linked &= block[rows][:, None] != block[rows]
+        a, b = np.nonzero(linked)
+        found_a.append(a + rows.start)
+        found_b.append(b + rows.start)
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(found_a or none), np.concatenate(found_b or none)
+    i, j = np.concatenate(found_a or none), np.concatenate(found_b or none)
+    own = np.zeros(len(i), bool)
+    for at in range(0, len(i), BATCH):
+        a, b = near[i[at : at + BATCH]], near[j[at : at + BATCH]]
+        shared = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int32).max)
+        shared.sort(axis=1)
+        own[at : at + BATCH] = ((shared < MOST_PIVOTS).sum(axis=1) >= MIN_SHARED) & (shared[:, 0].astype(np.int64) * MOST_PIVOTS + shared[:, 1] == key[i[at : at + BATCH]])
+    return i[own], j[own]
 
 
 def verify_region(core: np.ndarray, block: np.ndarray, cross: bool, n: np.ndarray, vecs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -237,10 +249,11 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     rows = vectors.select(F.col(ident).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vec"))
-    good = rows.where(usable(F.col("vec"), F.col("label"))).where("id IS NOT NULL")
-    # negative zero and zero are one value, as in a comparison
-    classes = scratch.write(good.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
-    chosen = classes.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(CANDIDATES * (most := pivot_count(classes.count()))).collect()
+    good = rows.where(usable(F.col("vec"), F.col("label")))
+    # negative zero and zero are one value, as in a comparison; a class is numbered once, as it is written
+    classes = good.groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = scratch.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    chosen = classes.select("vec", F.xxhash64("vec").alias("h"), "label").orderBy("h", "vec", "label").limit(CANDIDATES * (most := pivot_count(classes.count()))).collect()
     pivots = net([np.array(r["vec"], dtype=np.float64) for r in chosen], most)
     described = scratch.write(describe(classes.select("label", "rep", "n", "vec"), pivots, threshold), "described")
 
@@ -258,15 +271,18 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     found = scratch.write(search(lists, threshold), "found")
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(), scratch).withColumnRenamed("vertex", "rep")
     linked = found.groupBy("rep").agg(F.sum("hits").alias("hits"))
-    known = scratch.write(classes.join(linked, "rep", "left").join(parts, "rep", "left").select("label", "vec", (F.col("n") - 1 + F.coalesce("hits", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "known")
-    for name in ("classes", "described", "long", "found"):
-        scratch.drop(name)
+    counted = classes.join(linked, "rep", "left").join(parts, "rep", "left").select("label", "vec", "least", (F.col("n") - 1 + F.coalesce("hits", F.lit(0))).alias("n_links"), "component")
+    counted = scratch.write(counted, "counted")
+    named = scratch.write(counted.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("name")), "named")
+    named = counted.join(named, "component", "left").select("label", "vec", "n_links", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
+    known = scratch.write(named, "known")
+    scratch.drop_but("known")
     out = rows.join(known, ["label", "vec"], "left")
-    alone = F.col("n_links").isNull() | F.col("id").isNull()
-    return out.select("id", F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"))
+    alone = F.col("n_links").isNull()
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: links and component of every row of ``embeddings``."""
     got = near_vectors(table(spark, sf_dir, "embeddings"))
-    return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))

@@ -3,14 +3,15 @@
 The network reads a text's UTF-8 bytes in pieces of ``PIECE`` bytes, forwards and backwards, gives
 every position a distribution over the languages, and a document the mean over all its positions.
 Gates and states are piecewise linear, so a position costs a few vector operations. It is trained
-in numpy by backpropagation through time with Adam, on the driver, from a bounded sample: at most
-``PER_LANGUAGE`` pieces of each language, drawn by a hash of the id (``sample`` documents that
-bound). Prediction reads every byte of every text where it lies; nothing is shuffled, and the
+in numpy by backpropagation through time with Adam, on the driver, from a bounded sample: about
+``PER_LANGUAGE`` pieces of each language, drawn by a hash of the row (``sample`` documents the
+bounds). Prediction reads every byte of every text where it lies; nothing is shuffled, and the
 broadcast network is a few thousand numbers per hundred languages.
 
 Defined results: null and empty texts and texts without a letter are ``und`` with score 0; rows
-whose id is null are not learnt from; without any labelled row all texts are ``und``; repeated rows
-stay rows of their own; an empty table gives no rows; ties go to the first language in order.
+for which ``learn`` is null (the query's fold of a null id) are not learnt from; without any
+labelled row all texts are ``und``; repeated rows stay rows of their own and are learnt once; an
+empty table gives no rows; ties go to the first language in order.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import column, table
 
 UNKNOWN = "und"
 HIDDEN, PIECE, ROWS = 8, 128, 2048
 PER_LANGUAGE, LEARN_BYTES, STEPS, LEARN_ROWS, RATE, SEED = 600, 64, 160, 384, 0.02, 7
+#: Languages that are learnt, those of the most rows.
+MOST_LANGUAGES = 256
 PAD = 256
 LETTER = regex.compile(r"\p{L}")
 
@@ -165,21 +169,30 @@ def bucket(ident: Column, of: int) -> Column:
     return F.crc32(ident.cast("string").cast("binary")) % of
 
 
-def sample(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(language, piece of text) of at most ``per_language`` rows of each language.
+def sample(rows: DataFrame, per_language: int = PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
+    """(language, piece of text) of about ``per_language`` different rows of each language, twice that at most.
 
-    Rows whose hash is under a language's own bound are taken, so no language's rows meet in one
-    task and the driver gets no more than the sample. rows: (id, lang, text), all to learn from.
+    Rows whose hash of id and text is under a language's own bound are taken, so no language's rows
+    meet in one task; equal rows count once. Of more than ``languages`` languages those of the most
+    rows are learnt. The driver gets ``2 * languages * per_language`` pieces at most. rows: (id,
+    lang, text), all to learn from.
     """
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # each row's hash spreads evenly, so the least of all rows are a sample of them
+    rows = rows.withColumn("row", F.xxhash64("id", "text", F.lit(SEED)))
+    count = rows.groupBy("lang").agg(F.approx_count_distinct("row").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in count.collect()}
     if not counts:
         return []
     most = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n)))), F.col("lang"))
-    h = F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED)), 11) / F.lit(float(1 << 53))
+    h = F.shiftrightunsigned("row", 11) / F.lit(float(1 << 53))
     # a place anywhere in the text
-    begin = (F.pmod(F.xxhash64("id", F.lit(~SEED)), F.greatest(F.char_length("text") - LEARN_BYTES, F.lit(0)) + 1) + 1).cast("int")
-    got = rows.where(h <= most).select("lang", F.col("text").substr(begin, F.lit(LEARN_BYTES)).alias("piece"), h.alias("h")).orderBy("lang", "h", "piece").collect()
-    return [(r["lang"], r["piece"]) for r in got if r["piece"]]
+    begin = (F.pmod(F.xxhash64("row", F.lit(~SEED)), F.greatest(F.char_length("text") - LEARN_BYTES, F.lit(0)) + 1) + 1).cast("int")
+    some = rows.where(h <= most).select("lang", F.col("text").substr(begin, F.lit(LEARN_BYTES)).alias("piece"), (h / most).alias("h")).distinct()
+    got = some.orderBy("h", "lang", "piece").limit(2 * per_language * len(counts)).collect()
+    by: dict[str, list[str]] = {}
+    for r in got:
+        by.setdefault(r["lang"], []).append(r["piece"])
+    return [(k, piece) for k in sorted(by) for piece in by[k][: 2 * per_language] if piece]
 
 
 def train(pieces: list[tuple[str, str]]) -> Network | None:
@@ -200,7 +213,7 @@ def train(pieces: list[tuple[str, str]]) -> Network | None:
 
 def identify(docs: DataFrame, learn: Column, ident: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """The columns in ``keep`` (all) with lang_pred and score; ``learn`` says which rows may be learnt from."""
-    rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col(lang).isNotNull()).select(F.col(ident).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = docs.where(F.coalesce(learn, F.lit(False)) & column(lang).isNotNull()).select(column(ident).alias("id"), column(lang).alias("lang"), column(text).alias("text"))
     network = train(sample(rows.where(F.col("text").rlike(r"\p{L}"))))
     sent = docs.sparkSession.sparkContext.broadcast(network)
     own = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
@@ -209,7 +222,7 @@ def identify(docs: DataFrame, learn: Column, ident: str = "doc_id", text: str =
         network = sent.value
         for batch in batches:
             names, scores = [], []
-            values = batch.column(len(own))
+            values = batch.column(1)
             at = 0
             while at < len(values):  # about a megabyte at a time
                 texts, size = [], 0
@@ -222,10 +235,11 @@ def identify(docs: DataFrame, learn: Column, ident: str = "doc_id", text: str =
                 best = got.argmax(axis=1)
                 names += [network.languages[b] if x else UNKNOWN for x, b in zip(some, best, strict=True)]
                 scores += [float(min(1.0, got[i, b])) if some[i] else 0.0 for i, b in enumerate(best)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(own))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["own", "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "lang_pred string", "score double"])
-    return docs.select(*own, F.col(text).alias("__text")).mapInArrow(run, schema)
+    both = docs.select(F.struct(*map(column, own)).alias("own"), column(text).alias("text"))
+    schema = T.StructType([T.StructField("own", both.schema["own"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return both.mapInArrow(run, schema).select("own.*", "lang_pred", "score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ part of that is taken outright, the fraction by dependent rounding.
 Two documents with fractions meet and move mass (words times fraction) between them until one's
 fraction is 0 or 1; which way is drawn at random so that either's expectation stays. The sum of
 mass never changes, so what a source takes misses its target by less than the one document that
-is left in the end, which goes to the nearer side; then up to ``REPAIRS`` documents of the last block
-change sides if that brings the source nearer to its target. This is done as a reduction tree: documents are dealt into blocks of about ``BLOCK`` by a hash, a fold
+is left in the end, which goes to the nearer side; then the one or two documents of the last block change
+sides that bring the source nearest to its target. This is done as a reduction tree: documents are dealt into blocks of about ``BLOCK`` by a hash, a fold
 over each block settles all but one of its documents, and the one left goes to the next level.
 Each level has a ``BLOCK``-th of the rows of the one before; the last has one block per source.
 The blocks do not depend on the source's size, so a source with a third of all rows has as many
-more blocks, none of them larger. Draws are hashes of the id and the level: reruns agree.
+more blocks, none of them larger. Blocks and draws are hashes of the level and the row: its id, its
+text and, of rows equal in these, a number (equal rows are counted before the shuffle and told
+apart after it), so neither a null id nor a hot one fills a block. Reruns agree.
 
 Defined results: null text has size 0 and takes 0 words; a null source is a source, the last;
 sources without words have target 0; repeated rows count each; an empty table gives no rows.
@@ -28,9 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, table
 
-MAX_COPIES, BLOCK, SEED, REPAIRS = 3, 64, 8, 2
+MAX_COPIES, BLOCK, SEED = 3, 64, 8
 #: Fractions nearer than this to 0 or 1 are 0 or 1.
 EPS = 1e-9
+ROW = ("id", "row", "size", "source_size", "target", "whole", "p")
+#: Equal rows that are written out from one row.
+CHUNK = 1 << 16
 
 
 def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -55,6 +60,15 @@ def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     return by.select("key", "source_size", target.alias("target"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows (id, source, key, size) from these with th, a hash of the text: each with ``row``, a number of its own."""
+    same = rows.groupBy("id", "source", "key", "size", "th").agg(F.count("*").alias("n"))
+    chunks = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}"))).alias("chunk"))
+    last = F.least(F.col("n") - F.col("chunk") * CHUNK, F.lit(CHUNK)) - 1
+    each = chunks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"))
+    return each.select("id", "source", "key", "size", F.xxhash64("id", "source", "th", F.col("chunk") * CHUNK + F.col("i")).alias("row"))
+
+
 def draw(ident: Column, level: int) -> Column:
     """A number in [0, 1) that depends on the id, the seed and the level alone."""
     return F.shiftrightunsigned(F.xxhash64(ident, F.lit(SEED), F.lit(level)), 11) / F.lit(float(1 << 53))
@@ -97,44 +111,53 @@ def fold(rows: Column) -> Column:
 
 
 def close(done: DataFrame) -> DataFrame:
-    """(key, d) with every p 0 or 1, from (key, d), the last block of each source: some ``BLOCK`` rows of a key."""
-    own = Window.partitionBy("key")
-    p, size = F.col("d.p"), F.col("d.size")
-    out = done.select("key", "d", F.row_number().over(own.orderBy("d.size", "d.id", "d.p")).alias("i"), F.sum((F.round(p) - p) * size).over(own).alias("over"))
-    out = out.withColumn("d", F.col("d").withField("p", F.round(p)))
-    for _ in range(REPAIRS):
-        gain = (1 - 2 * p) * size  # what changing sides adds to what is taken
-        out = out.withColumn("best", F.min(F.struct(F.abs(F.col("over") + gain).alias("miss"), "i", gain.alias("gain"))).over(own))
-        better = F.col("best.miss") < F.abs("over")
-        out = out.select("key", F.when(better & (F.col("i") == F.col("best.i")), F.col("d").withField("p", 1 - p)).otherwise(F.col("d")).alias("d"), "i", F.when(better, F.col("over") + F.col("best.gain")).otherwise(F.col("over")).alias("over"))
-    return out.select("key", "d")
+    """(key, d) with every p 0 or 1, from (key, d), the last block of each source: some ``BLOCK`` rows of a key.
+
+    The fractional one goes to the nearer side; then that one or those two change sides, of all of
+    the block, that bring the source nearest to its target, if any does.
+    """
+    by = done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d.size", "d.row", "d.p", "d"))).alias("xs"))
+    p = lambda x: F.round(x["p"])
+    over = F.aggregate("xs", F.lit(0.0), lambda s, x: s + (p(x) - x["p"]) * x["size"])
+    # what changing sides adds to what is taken
+    by = by.select("key", "xs", over.alias("over"), F.transform("xs", lambda x: (1 - 2 * p(x)) * x["size"]).alias("gains"))
+    stay = F.array(F.struct(F.abs("over").alias("miss"), F.lit(0).alias("n"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+
+    def first(g: Column, i: Column) -> Column:
+        pairs = F.transform(F.slice("gains", i + 1, F.size("gains")), lambda h, k: F.struct(F.abs(F.col("over") + g + F.when(k > 0, h).otherwise(0.0)).alias("miss"), F.when(k > 0, 2).otherwise(1).alias("n"), i.alias("i"), (i + k).alias("j")))
+        return F.array_min(pairs)
+
+    by = by.select("key", "xs", F.array_min(F.concat(stay, F.transform("gains", first))).alias("best"))
+    turned = F.transform("xs", lambda x, k: x["d"].withField("p", F.when((k == F.col("best.i")) | (k == F.col("best.j")), 1 - p(x)).otherwise(p(x))))
+    return by.select("key", F.explode(turned).alias("d"))
 
 
 def mix(docs: DataFrame, ident: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(id, size, source_size, target, copies, taken) for each row.
 
-    Shuffles ids and sizes alone, never texts: once over all rows, and once per level over a
+    Shuffles ids and sizes alone, never texts: twice over all rows, and once per level over a
     ``BLOCK``-th of the level before.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    sizes = scratch.write(docs.select(F.col(ident).cast("long").alias("id"), F.col(source).alias("source"), key.alias("key"), size.alias("size")), "rows")
+    rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(source).alias("source"), key.alias("key"), size.alias("size"), F.xxhash64(F.col(text)).alias("th"))
+    sizes = scratch.write(numbered(rows), "rows")
     targets = scratch.write(source_targets(sizes), "targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(share + EPS)
     part = F.greatest(share - whole, F.lit(0.0))
-    rows = sizes.join(targets, "key").select("key", F.struct("id", "size", "source_size", "target", whole.cast("long").alias("whole"), F.when((F.col("size") == 0) | (part < EPS), 0.0).otherwise(part).alias("p")).alias("d"))
+    rows = sizes.join(targets, "key").select("key", F.struct("id", "row", "size", "source_size", "target", whole.cast("long").alias("whole"), F.when((F.col("size") == 0) | (part < EPS), 0.0).otherwise(part).alias("p")).alias("d"))
     settled = [rows.where("d.p = 0").select("d")]
     open_rows = rows.where("d.p > 0")
     total, level = sizes.count(), 0
     while True:
         blocks = math.ceil(total / BLOCK)
-        block = F.pmod(F.xxhash64("d.id", F.lit(SEED), F.lit(~level)), F.lit(max(blocks, 1)))
-        one = F.struct(draw(F.col("d.id"), level).alias("u"), *(F.col(f"d.{c}").alias(c) for c in ("id", "size", "source_size", "target", "whole", "p")))
+        block = F.pmod(F.xxhash64("d.row", F.lit(SEED), F.lit(~level)), F.lit(max(blocks, 1)))
+        one = F.struct(draw(F.col("d.row"), level).alias("u"), *(F.col(f"d.{c}").alias(c) for c in ROW))
         dealt = open_rows.select("key", block.alias("block"), one.alias("x")).groupBy("key", "block").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-        done = dealt.select("key", F.transform(fold(F.col("xs")), lambda d: F.struct(*(d[c].alias(c) for c in ("id", "size", "source_size", "target", "whole", "p")))).alias("ds"))
+        done = dealt.select("key", F.transform(fold(F.col("xs")), lambda d: F.struct(*(d[c].alias(c) for c in ROW))).alias("ds"))
         done = scratch.write(done.select("key", F.explode("ds").alias("d")), f"level-{level}")
         if blocks <= 1:
             settled.append(close(done).select("d"))

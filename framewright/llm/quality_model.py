@@ -7,13 +7,14 @@ singular vectors span the latent space. Every document's exact cosine with every
 is computed, a block of documents at a time; the ``NEIGHBOURS`` nearest vote with the cosine as
 their weight.
 
-Fitting takes a bounded sample: ``PER_LABEL`` labelled rows of each label, drawn by a hash of the
-id; the labelled vectors, ``2 * PER_LABEL * LATENT`` numbers at most, are broadcast. Scoring reads
-every whole text where it lies; only labelled ids are shuffled.
+Fitting takes a bounded sample: about ``PER_LABEL`` labelled rows of each label, drawn by a hash,
+``4 * PER_LABEL`` at most (``sample``); the labelled vectors, ``4 * PER_LABEL * LATENT`` numbers at
+most, are broadcast. Scoring reads every whole text where it lies; only labelled ids are shuffled.
 
 Defined results: a null or empty text is scored like any other, by its form; without labelled rows
 of both labels the score is the share of label 1 (0.5 without any); a null id is never learnt
-from; repeated rows and labels count each; an empty table gives no rows.
+from; repeated labels count once, and rows of one id each as far as the sample's bound goes; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,27 +93,37 @@ class Voter:
     def score(self, x: np.ndarray) -> np.ndarray:
         sims = self.latent(x) @ self.known.T
         k = min(NEIGHBOURS, sims.shape[1])
-        # ties go to the first labelled vector, whatever the block
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k, None]
+        above, tied = sims > least, sims == least
+        # ties go to the first labelled vectors, whatever the block
+        near = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        near = np.nonzero(near)[1].reshape(-1, k)
         weight = np.maximum(np.take_along_axis(sims, near, axis=1), 1e-6).astype(np.float64) ** 4
         return (weight * self.y[near]).sum(axis=1) / weight.sum(axis=1)
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most about ``per_label`` rows of each label; docs (id, text), labels (id, y)."""
-    counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    """Features and labels of about ``per_label`` rows of each label; docs (id, text), labels (id, y).
+
+    Labels are drawn by a hash of the id, equal ones once, ``4 * per_label`` at most, which are
+    broadcast; of the documents that have them the ``4 * per_label`` of the least hash of id and text
+    reach the driver, however many rows share an id.
+    """
+    labels = labels.select("id", "y", F.xxhash64("id", F.lit(SEED)).alias("h"))
+    counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return np.zeros((0, TERMS + FORMS), np.float32), np.zeros(0)
     most = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n)))), F.col("y"))
-    h = F.shiftrightunsigned(F.xxhash64("id", F.lit(SEED)), 11) / F.lit(float(1 << 53))
-    chosen = labels.where(h <= most).select("id", "y")  # about 2 * per_label rows: bounded, so it can be broadcast
+    h = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    chosen = labels.where(h <= most).select("id", "y", "h").distinct().orderBy("h", "y").limit(4 * per_label).select("id", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+            x = features(batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "h", "x"])
 
-    got = docs.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, x binary").collect()
+    rows = docs.join(F.broadcast(chosen), "id").select("id", "y", F.xxhash64("id", "text", F.lit(~SEED)).alias("h"), "text")
+    got = rows.mapInArrow(run, "id long, y int, h long, x binary").orderBy("h", "y").limit(4 * per_label).collect()
     got.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     return np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, TERMS + FORMS), np.array([r["y"] for r in got])
 

@@ -104,33 +104,33 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS mark, coalesce('h' || source, 'n') AS host,
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('h' || source, 'n') AS host,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), win AS (
-  SELECT doc_id, mark, i, array_to_string(w[i:i+7], ' ') AS s
-  FROM (SELECT doc_id, mark, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+  SELECT rid, i, array_to_string(w[i:i+7], ' ') AS s
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
 ), rep AS (
-  SELECT doc_id, mark, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, mark, s) AS c FROM win) WHERE c > 1
+  SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1
 ), cov AS (
-  SELECT doc_id, mark, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
-  FROM (SELECT doc_id, mark, i, lead(i) OVER (PARTITION BY doc_id, mark ORDER BY i) AS nxt FROM rep) GROUP BY ALL
+  SELECT rid, sum(least(8, coalesce(nxt - i, 8))) AS n_repeat_words
+  FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM rep) GROUP BY ALL
 ), line AS (
-  SELECT doc_id, mark, host, trim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l
-  FROM (SELECT doc_id, mark, host, unnest(string_split(t, chr(10))) AS l FROM d)
+  SELECT rid, host, trim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS l
+  FROM (SELECT rid, host, unnest(string_split(t, chr(10))) AS l FROM d)
 ), once AS (
-  SELECT doc_id, mark, host, l, sum(length(l) - length(replace(l, ' ', '')) + 1) AS words FROM line WHERE l <> '' GROUP BY ALL
+  SELECT rid, host, l, sum(length(l) - length(replace(l, ' ', '')) + 1) AS words FROM line WHERE l <> '' GROUP BY ALL
 ), hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host), common AS (
   SELECT host, l FROM (SELECT host, l, count(*) AS n FROM once GROUP BY ALL) JOIN hosts USING (host) WHERE n > 10 AND n > 0.05::DOUBLE * docs
-), gone AS (SELECT doc_id, mark, sum(words) AS c FROM once JOIN common USING (host, l) GROUP BY ALL), base AS (
-  SELECT doc_id, mark, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+), gone AS (SELECT rid, sum(words) AS c FROM once JOIN common USING (host, l) GROUP BY ALL), base AS (
+  SELECT rid, doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     coalesce(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0)
       - coalesce(len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))), 0) AS n_dup_lines
   FROM d
 ), al AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(c, 0) AS c
-  FROM base LEFT JOIN cov USING (doc_id, mark) LEFT JOIN gone USING (doc_id, mark)
+  FROM base LEFT JOIN cov USING (rid) LEFT JOIN gone USING (rid)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,

@@ -408,5 +408,8 @@ def test_odd_vectors(spark):
     got = {r["id"]: (r["n_links"], r["component"]) for r in embeddings.near_vectors(df).collect()}
     assert got == brute_vectors(rows) and got[13] == (3, 0)
     twice = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (None, [1.0, 2.0], 1)], "vec_id long, embedding array<double>, label int")
-    assert sorted((str(r["id"]), r["n_links"]) for r in embeddings.near_vectors(twice).collect()) == [("1", 1), ("1", 1), ("None", 0)]
+    assert sorted((str(r["id"]), r["n_links"]) for r in embeddings.near_vectors(twice).collect()) == [("1", 2), ("1", 2), ("None", 2)]
+    assert {r["component"] for r in embeddings.near_vectors(twice).collect()} == {1}
+    shared = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (None, [-1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((str(r["id"]), r["n_links"], r["component"]) for r in embeddings.near_vectors(shared).collect()) == [("1", 0, 1), ("1", 1, 1), ("2", 1, 1), ("None", 0, None)]
     assert embeddings.near_vectors(df.limit(0)).count() == 0
