@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tables import RATES
+from .tables import EPOCH_1904, PROFILES, RATES
 
 
 def whole_div(a: Column, b: Column) -> Column:
@@ -84,4 +84,21 @@ def resolve_rate(num: Column, den: Column, fps: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.format_number(n / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / (1 << 20), 2), F.lit(" MB")))
+    """Bytes, or kibibytes with one place, or mebibytes with two; no separators."""
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.2f MB", n / (1 << 20)))
+
+
+def fourcc(profile: Column) -> Column:
+    """A profile's four-character code."""
+    return lookup([p[1] for p in PROFILES], profile)
+
+
+def profile_of(code: Column) -> Column:
+    """The profile of a four-character code; null if there is none."""
+    place = F.array_position(F.array(*(F.lit(p[1]) for p in PROFILES)), code)
+    return F.when(place > 0, place - 1)
+
+
+def movie_time(at: Column) -> Column:
+    """A timestamp as seconds since 1904, in 32 bits."""
+    return (F.unix_timestamp(at) + EPOCH_1904).bitwiseAND(F.lit(0xFFFFFFFF))

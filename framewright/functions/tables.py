@@ -111,6 +111,9 @@ COLOR = {
 # Frame rates that are meant by their usual decimal names.
 RATES = ((23.976, 24000, 1001), (29.97, 30000, 1001), (59.94, 60000, 1001))
 
+# Seconds from the start of 1904, from which movies count time, to that of 1970.
+EPOCH_1904 = 2_082_844_800
+
 SCORE_LIMIT = (2**31 - 1) // 2
 SLICE_MBS = 8
 DC_OFFSET = 0x4000

@@ -13,11 +13,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import Config
+from ..functions.tables import EPOCH_1904, Config
 
 RANGE = 65_536
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
-EPOCH_1904 = 2_082_844_800
 
 
 def sample_index(packets: DataFrame, range_rows: int = RANGE) -> DataFrame:
@@ -144,26 +143,36 @@ class Movie:
         return replace(self, created=(unix_seconds + EPOCH_1904) & 0xFFFFFFFF)
 
 
+def movie_parts(packets: DataFrame, movie: Movie) -> DataFrame:
+    """(place, data): what stands at which byte of the movie's file: its start, each packet, its end.
+
+    Parts can be written by any task, as each has its place. The driver holds the sizes, 8 bytes a
+    frame, for the tables at the end; packets stay where they are. They are read twice: give a
+    written table, not a plan that encodes.
+    """
+    own = packets.select("frame_idx", F.col("size").cast("long").alias("size"), "data")
+    sizes = [r["size"] for r in own.select("frame_idx", "size").orderBy("frame_idx").select("size").collect()]
+    head = movie.header(sum(sizes))
+    ends = own.sparkSession.createDataFrame([(0, bytearray(head)), (len(head) + sum(sizes), bytearray(movie.moov(sizes)))], "place long, data binary")
+    placed = own.select("frame_idx", "data").join(sample_index(own.select("frame_idx", "size")), "frame_idx")
+    return placed.select((F.col("offset") + len(head)).alias("place"), "data").unionByName(ends)
+
+
 def write_movie(packets: DataFrame, path: str, movie: Movie) -> int:
     """Writes one movie file through Hadoop's file system; returns its size.
 
-    Packets reach the driver one at a time, in order, and go on to the file: the driver holds the
-    list of sizes and no more than a partition of packets.
+    Parts reach the driver in order, a partition at a time, and go on to the file.
     """
     spark = packets.sparkSession
-    ordered = packets.select("frame_idx", F.col("size").cast("long").alias("size"), "data").orderBy("frame_idx")
-    sizes = [r["size"] for r in ordered.select("size", "frame_idx").orderBy("frame_idx").collect()]
-    end = movie.moov(sizes)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target, size = spark._jvm.org.apache.hadoop.fs.Path(path), 0
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(movie.header(sum(sizes))))
-        for row in ordered.select("data").toLocalIterator(prefetchPartitions=False):
+        for row in movie_parts(packets, movie).orderBy("place").select("data").toLocalIterator(prefetchPartitions=False):
             out.write(row["data"])
-        out.write(bytearray(end))
+            size += len(row["data"])
     finally:
         out.close()
-    return len(movie.header(sum(sizes))) + sum(sizes) + len(end)
+    return size
 
 
 NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf")

@@ -67,9 +67,9 @@ SUMMARY = """SELECT frame_idx, plane, count(*) AS n, min(v) AS min_v, max(v) AS
   CAST(sum(v * (x + 1 + 3 * (y + 1))) AS BIGINT) AS weighted FROM {} GROUP BY frame_idx, plane"""
 
 
-def padded(full: bool, alpha: bool = False) -> str:
+def padded(full: bool, alpha: bool = False, size: tuple[int, int] = ODD) -> str:
     """A grid of the padded size looks its samples up."""
-    width, height = ODD
+    width, height = size
     w16, h16 = -(-width // 16) * 16, -(-height // 16) * 16
     half = not full
     return samples(width, height, full, alpha=alpha) + f""",
@@ -79,11 +79,11 @@ grid AS (SELECT f AS frame_idx, plane, y, x, least(x, own - 1) AS sx, least(y, {
 pd AS (SELECT grid.frame_idx, grid.plane, grid.y, grid.x, sm.v FROM grid JOIN sm ON sm.frame_idx = grid.frame_idx AND sm.plane = grid.plane AND sm.x = sx AND sm.y = sy)"""
 
 
-def tiles(full: bool) -> str:
-    mbs = -(-ODD[0] // 16)
+def tiles(full: bool, alpha: bool = False, size: tuple[int, int] = ODD) -> str:
+    mbs = -(-size[0] // 16)
     half = "plane <> 'y'" if not full else "false"
-    return padded(full) + f""",
-mb AS (SELECT *, CASE WHEN {half} THEN x // 8 ELSE x // 16 END AS m FROM pd),
+    return padded(full, alpha, size) + f""",
+mb AS (SELECT *, CASE WHEN {half} THEN x // 8 ELSE x // 16 END AS m FROM pd WHERE plane <> 'a'),
 tl AS (
   SELECT frame_idx, y // 16 AS mb_row, m // 8 AS slice, least(8, {mbs} - 8 * (m // 8)) AS slice_width, plane,
     (m % 8) * CASE WHEN {half} THEN 2 ELSE 4 END + CASE WHEN {half} THEN (y % 16) // 8 WHEN plane = 'y' THEN 2 * ((y % 16) // 8) + (x % 16) // 8
@@ -93,13 +93,15 @@ tl AS (
 
 _BASIS = _values((u, k, BASIS[u][k]) for u in range(8) for k in range(8))
 _BLOCK = "frame_idx, mb_row, slice, slice_width, plane, block_no"
-ROWS = f"""{tiles(False)},
+_TURNED = f"""
 basis(u, k, m) AS (VALUES {_BASIS}),
 p1 AS (SELECT {_BLOCK}, r, u, CAST(sum(m * v) AS BIGINT) AS s FROM tl JOIN basis ON k = c GROUP BY {_BLOCK}, r, u),
 q1 AS (SELECT {_BLOCK}, r, u, CASE WHEN u % 4 = 0 THEN s * 2 ELSE (s + 2048) >> 12 END AS p FROM p1)"""
-COEF = f"""{ROWS},
+_COEFFICIENTS = f"""
 p2 AS (SELECT {_BLOCK}, q1.u AS c, b.u AS w, CAST(sum(b.m * p) AS BIGINT) AS s FROM q1 JOIN basis b ON b.k = q1.r GROUP BY {_BLOCK}, q1.u, b.u),
 cf AS (SELECT {_BLOCK}, 8 * w + c AS raster, CASE WHEN w % 4 = 0 THEN (s + 2) >> 2 ELSE (s + 16384) >> 15 END AS coeff FROM p2)"""
+ROWS = f"{tiles(False)},{_TURNED}"
+COEF = f"{ROWS},{_COEFFICIENTS}"
 DC = f"""{COEF},
 d0 AS (SELECT {_BLOCK}, coeff - 16384 AS dc, CASE WHEN plane = 'y' THEN {LUMA[HQ][0]} ELSE {CHROMA[HQ][0]} END * {Q} AS scale FROM cf WHERE raster = 0),
 d1 AS (SELECT *, dc // scale AS level FROM d0),
@@ -143,8 +145,12 @@ _DC_COST = f"SELECT {KEYS}, CAST(sum({bits('book', 'code')}) AS BIGINT) AS dc_bi
 _AC_COST = f"""SELECT {KEYS}, coalesce(ac_bits, 0) AS ac_bits, ac_error FROM (SELECT {KEYS}, CAST(sum(rest) AS BIGINT) AS ac_error FROM a1 GROUP BY {KEYS})
   LEFT JOIN (SELECT {KEYS}, CAST(sum({bits("b", "run")} + {bits("l", "(level - 1)")} + 1) AS BIGINT) AS ac_bits FROM (SELECT *, {_RUN} AS b, {_LEVEL} AS l FROM a3) GROUP BY {KEYS}) USING ({KEYS})"""
 _BOTH = DC + "," + AC[len(COEF) + 1 :]
-ALPHA = f"""{padded(True, True)},
-al AS (SELECT frame_idx, y // 16 AS mb_row, x // 128 AS slice, (y % 16) * 16 * least(8, {-(-ODD[0] // 16)} - 8 * (x // 128)) + x % 128 AS i, (v << 6) | (v >> 4) AS v FROM pd WHERE plane = 'a')"""
+_ALPHA = f"al AS (SELECT frame_idx, y // 16 AS mb_row, x // 128 AS slice, (y % 16) * 16 * least(8, {-(-ODD[0] // 16)} - 8 * (x // 128)) + x % 128 AS i, (v << 6) | (v >> 4) AS v FROM pd WHERE plane = 'a')"
+_RUNS = """m AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS new FROM al WINDOW w AS (PARTITION BY frame_idx, mb_row, slice ORDER BY i)),
+      o AS (SELECT *, sum(new) OVER (PARTITION BY frame_idx, mb_row, slice ORDER BY i) AS n FROM m),
+      s AS (SELECT frame_idx, mb_row, slice, n, max(v) AS v, count(*) - 1 AS run FROM o GROUP BY ALL),
+      d AS (SELECT *, (v - coalesce(lag(v) OVER (PARTITION BY frame_idx, mb_row, slice ORDER BY n), 65535)) & 65535 AS diff FROM s)"""
+ALPHA = f"{padded(True, True)},\n{_ALPHA}"
 _BOOKS = sorted({FIRST_DC_BOOK, *RUN_BOOKS, *LEVEL_BOOKS, *DC_BOOKS})
 _CODES = f"WITH k(book) AS (VALUES {_values((b,) for b in _BOOKS)}), v AS (SELECT CAST(i AS BIGINT) AS value, CAST(book AS BIGINT) AS book FROM k, range(300) t(i))"
 _SIZES = "WITH p AS (SELECT event_id AS frame_idx, CAST(strlen(props) AS BIGINT) AS size FROM events)"
@@ -194,10 +200,7 @@ ORACLES = {
     "win3_scan_pos": f"WITH {AC} SELECT {KEYS}, count(*) AS n, max(pos) AS last_pos, CAST(sum(pos * coeff) AS BIGINT) AS weighted, CAST(sum(raster) AS BIGINT) AS sum_raster FROM a0 GROUP BY {KEYS}",
     "win4_runs": f"WITH {AC} SELECT {KEYS}, count(*) AS n, CAST(sum(run) AS BIGINT) AS sum_run, max(run) AS max_run, CAST(sum(run * level) AS BIGINT) AS weighted FROM a2 GROUP BY {KEYS}",
     "win5_ac_context": f"WITH {AC} SELECT {KEYS}, run_context, level_context, count(*) AS n FROM a3 GROUP BY ALL",
-    "win6_alpha_rle": f"""WITH {ALPHA}, m AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS new FROM al WINDOW w AS (PARTITION BY frame_idx, mb_row, slice ORDER BY i)),
-      o AS (SELECT *, sum(new) OVER (PARTITION BY frame_idx, mb_row, slice ORDER BY i) AS n FROM m),
-      s AS (SELECT frame_idx, mb_row, slice, n, max(v) AS v, count(*) - 1 AS run FROM o GROUP BY ALL),
-      d AS (SELECT *, (v - coalesce(lag(v) OVER (PARTITION BY frame_idx, mb_row, slice ORDER BY n), 65535)) & 65535 AS diff FROM s)
+    "win6_alpha_rle": f"""WITH {ALPHA}, {_RUNS}
       SELECT frame_idx, mb_row, slice, count(*) AS islands, CAST(sum(run) AS BIGINT) AS sum_run, CAST(sum(diff) AS BIGINT) AS sum_diff,
         CAST(sum(CASE WHEN diff BETWEEN 1 AND 64 OR diff >= 65536 - 64 THEN 8 ELSE 17 END + CASE WHEN run = 0 THEN 1 WHEN run < 16 THEN 5 ELSE 16 END) AS BIGINT) AS bits FROM d GROUP BY ALL""",
     "agg1_code_bits": f"{_CODES} SELECT book, value, {bits('book', 'value')} AS bits FROM v",
@@ -222,11 +225,11 @@ ORACLES = {
     "agg6_stats": """SELECT event_type, count(value) AS n, quantile_cont(value, 0.5) AS median, round(avg(value), 6) AS mean,
       round(coalesce(stddev_samp(value), 0), 6) AS stdev, min(value) AS least FROM events GROUP BY event_type""",
     "agg8_quality_means": "SELECT event_type, round(avg(value), 6) AS psnr_avg, round(avg(value / 100), 8) AS ssim_avg FROM events GROUP BY event_type",
-    "agg7_benchmark_rows": """SELECT event_type, 150 AS frames, count(value) AS runs, round(150 / quantile_cont(value, 0.5), 2) AS fps, round(150 / min(value), 2) AS fps_best,
-      round(150 / quantile_cont(value, 0.5) / 30, 2) AS realtime_x, round(quantile_cont(value, 0.5), 4) AS sec_median, round(min(value), 4) AS sec_best,
-      round(coalesce(stddev_samp(value), 0), 4) AS sec_stdev, round(max(strlen(props) * 100000) / 1e6::DOUBLE, 1) AS out_mb, round(max(strlen(props) * 100000) * 8 / 1e6::DOUBLE / 5, 0) AS mbps
-      FROM events WHERE value > 0 GROUP BY event_type""",
-    "agg9_has_alpha": f"WITH {pixels(*SMALL)} SELECT frame_idx, bool_or(a < 255) AS has_alpha FROM px WHERE frame_idx % 2 = 0 OR a = 255 GROUP BY frame_idx",
+    "agg7_benchmark_rows": """SELECT event_type, 150 AS frames, count(s) AS runs, round(150 / quantile_cont(s, 0.5), 2) AS fps, round(150 / min(s), 2) AS fps_best,
+      round(150 / quantile_cont(s, 0.5) / 30, 2) AS realtime_x, round(quantile_cont(s, 0.5), 4) AS sec_median, round(min(s), 4) AS sec_best,
+      round(coalesce(stddev_samp(s), 0), 4) AS sec_stdev, round(max(strlen(props) * 100000) / 1e6::DOUBLE, 1) AS out_mb, round(max(strlen(props) * 100000) * 8 / 1e6::DOUBLE / 5, 0) AS mbps
+      FROM (SELECT *, abs(value) + 0.5::DOUBLE AS s FROM events) GROUP BY event_type""",
+    "agg9_has_alpha": f"WITH {pixels(*SMALL)} SELECT frame_idx, bool_or(a < 255 AND frame_idx % 2 = 0) AS has_alpha FROM px GROUP BY frame_idx",
     "agg10_ratio": f"{_ENCODERS}, t AS (SELECT sequence, profile, max(size_bytes) FILTER (encoder = 'native') AS base, max(size_bytes) FILTER (encoder = 'other') AS other FROM s GROUP BY ALL) SELECT *, round(CASE WHEN base > 0 THEN other / base END, 9) AS ratio FROM t",
     "agg10_overview": f"{_ENCODERS} SELECT sequence, encoder, coalesce(max(size_bytes) FILTER (profile = 'hq' AND encoder <> 'other'), max(size_bytes) FILTER (profile = '4444')) AS size_bytes FROM s GROUP BY ALL",
     "agg11_pass_counts": "SELECT count(*) FILTER (value > 50) AS passed, count(*) FILTER (NOT coalesce(value > 50, false)) AS failed FROM events",

@@ -18,7 +18,7 @@ from ..functions.tables import Config
 
 FRAMES = "frame_idx long, width int, height int, rgba binary"
 _LOW32 = 0xFFFFFFFF
-#: The generator's state grows by this with each call.
+# Fixed values of the test generator: the state's growth with each call, its start, and the noise's range.
 STEP, SEED, SEED_STEP, SPREAD = 1831565813, 4660, 977, 40
 
 
@@ -50,6 +50,25 @@ def synthetic_pixels(ids: DataFrame, width: int, height: int) -> DataFrame:
     return grid.select("frame_idx", "y", "x", channel(2 * x + 10 * f, 0).alias("r"), channel(3 * y + 5 * f, 1).alias("g"), channel(x + y + 7 * f, 2).alias("b"), (2 * x + y).bitwiseAND(F.lit(255)).alias("a"))
 
 
+def alpha_pattern(ids: DataFrame, width: int, height: int) -> DataFrame:
+    """One colour, with alpha 8, 128 and 255 by a pixel's number."""
+    i = F.col("y") * width + F.col("x")
+    grid = ids.select("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))).alias("y"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"))
+    a = F.when(i % 4 == 0, 8).when(i % 3 == 0, 128).otherwise(255)
+    return grid.select("frame_idx", "y", "x", *(F.lit(v).cast("long").alias(c) for c, v in (("r", 200), ("g", 100), ("b", 50))), a.cast("long").alias("a"))
+
+
+def gradient(ids: DataFrame, width: int, height: int) -> DataFrame:
+    """Linear ramps in single precision: red to the right, green down, blue to the left; opaque."""
+    grid = ids.select("frame_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))).alias("y"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"))
+    fx, fy = ((F.col(c) / n).cast("float") for c, n in (("x", width), ("y", height)))
+    byte = lambda v: (v * F.lit(255).cast("float")).cast("long")
+    one = F.lit(1).cast("float")
+    return grid.select("frame_idx", "y", "x", byte(fx).alias("r"), byte(fy).alias("g"), byte(one - fx).alias("b"), F.lit(255).cast("long").alias("a"))
+
+
 def synthetic_rgba(frame: int, width: int, height: int) -> bytes:
     """One frame of the same pixels, by numpy."""
     mask = np.uint64(_LOW32)
@@ -105,16 +124,54 @@ def raw_frames(spark: SparkSession, path: str, config: Config, limit: int | None
     total = fs.getContentSummary(hadoop).getLength()
     if total % config.frame_bytes:
         raise ValueError(f"{path} holds {total} bytes, which is no whole number of frames of {config.frame_bytes}")
-    records = spark.sparkContext.binaryRecords(path, config.frame_bytes).zipWithIndex()
-    out = records.map(lambda r: (r[1], config.width, config.height, bytes(r[0]))).toDF(FRAMES)
+    # records stay in the JVM: its reader splits the files and numbers the records, no Python runs over frames
+    encoders = spark._jvm.org.apache.spark.sql.Encoders
+    records = spark._jsc.binaryRecords(path, config.frame_bytes).zipWithIndex().rdd()
+    pairs = DataFrame(spark._jsparkSession.createDataset(records, encoders.tuple(encoders.BINARY(), encoders.LONG())).toDF(), spark)
+    out = pairs.select(F.col("_2").alias("frame_idx"), F.lit(config.width).alias("width"), F.lit(config.height).alias("height"), F.col("_1").alias("rgba"))
     return out if limit is None else out.where(F.col("frame_idx") < limit)
 
 
+def png_bytes(pixels: np.ndarray) -> bytes:
+    """A PNG file of (height, width, 4) bytes, without filters."""
+    import struct
+    import zlib
+
+    height, width, _ = pixels.shape
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)], axis=1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def write_png(frames: DataFrame, folder: str, pattern: str = "frame_%04d.png") -> None:
+    """Writes frames as a folder of PNG files through Hadoop's file system, a partition at a time."""
+    spark = frames.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in frames.toLocalIterator():
+        out = fs.create(hadoop.Path(f"{folder}/{pattern % row['frame_idx']}"), True)
+        try:
+            out.write(bytearray(png_bytes(np.frombuffer(row["rgba"], np.uint8).reshape(row["height"], row["width"], 4))))
+        finally:
+            out.close()
+
+
+def frame_fault(config: Config) -> Column:
+    """What is wrong with a frame's size or length; null for one that is as the configuration says."""
+    size = f"{config.width} x {config.height}"
+    other = (F.col("width") != config.width) | (F.col("height") != config.height) | F.col("width").isNull() | F.col("height").isNull()
+    shown = F.concat_ws(" x ", F.coalesce(F.col("width").cast("string"), F.lit("none")), F.coalesce(F.col("height").cast("string"), F.lit("none")))
+    length = F.coalesce(F.octet_length("rgba").cast("string"), F.lit("none"))
+    return F.when(other, F.concat(F.lit(f"a frame is {size}, not "), shown)).when(
+        F.coalesce(F.octet_length("rgba"), F.lit(-1)) != config.frame_bytes, F.concat(F.lit(f"a frame of {size} has {config.frame_bytes} bytes, not "), length)
+    )
+
+
 def check_frames(frames: DataFrame, config: Config) -> DataFrame:
     """The frames as they are; one whose size or length isn't the configuration's fails the job."""
-    wrong = (F.octet_length("rgba") != config.frame_bytes) | (F.col("width") != config.width) | (F.col("height") != config.height) | F.col("rgba").isNull()
-    said = F.concat(F.lit(f"a frame of {config.width} x {config.height} has {config.frame_bytes} bytes, not "), F.coalesce(F.octet_length("rgba").cast("string"), F.lit("none")))
-    return frames.withColumn("rgba", F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(said).cast("binary")).otherwise(F.col("rgba")))
+    fault = frame_fault(config)
+    return frames.withColumn("rgba", F.when(fault.isNotNull(), F.raise_error(fault).cast("binary")).otherwise(F.col("rgba")))
 
 
 def image_sequence(spark: SparkSession, folder: str, suffix: str = ".png") -> DataFrame:
@@ -124,16 +181,24 @@ def image_sequence(spark: SparkSession, folder: str, suffix: str = ".png") -> Da
     return number_names(files.select(name.alias("name"), "path", "content"))
 
 
-def number_names(files: DataFrame) -> DataFrame:
+def number_names(files: DataFrame, range_rows: int = 65_536) -> DataFrame:
     """Adds frame_idx, the place in the order of the last number in ``name``, then of the name.
 
-    The numbering window runs over names alone, a row per frame; contents are joined on again.
+    Names are numbered within ranges of numbers (those without a number, within their first two
+    characters), and ranges by their counts: no task sees more than a range of names and a row per
+    range. Contents are joined on again.
     """
     from pyspark.sql import Window
 
-    number = F.regexp_extract("name", r"(\d+)\D*$", 1)
-    order = Window.orderBy(F.when(number == "", None).otherwise(number).cast("decimal(38,0)").asc_nulls_first(), "name")
-    places = files.select("name").distinct().select("name", (F.row_number().over(order) - 1).cast("long").alias("frame_idx"))
+    digits = F.regexp_extract("name", r"(\d+)\D*$", 1)
+    number = F.when(digits == "", None).otherwise(digits).cast("decimal(38,0)")
+    names = files.select("name").distinct().withColumn("number", number)
+    part = F.struct(F.floor(F.col("number") / range_rows).alias("range"), F.when(F.col("number").isNull(), F.substring("name", 1, 2)).otherwise("").alias("start"))
+    names = names.withColumn("part", part)
+    order = Window.orderBy(F.col("part.range").asc_nulls_first(), "part.start").rowsBetween(Window.unboundedPreceding, -1)
+    first = names.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part").alias("own"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
+    within = names.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("number", "name")) - 1)
+    places = within.join(first, F.col("part").eqNullSafe(F.col("own"))).select("name", (F.col("first") + F.col("k")).cast("long").alias("frame_idx"))
     return files.join(places, "name")
 
 

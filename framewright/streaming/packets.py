@@ -6,11 +6,10 @@ the same bytes, and the sink replaces a batch by its number.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.shared import shared_folder
 from ..functions.tables import Config
 from ..operators.encode import encode_frames
 from ..sources.frames import FRAMES, check_frames
@@ -29,10 +28,7 @@ def start(frames: DataFrame, config: Config, out: str, checkpoint: str, once: bo
 def stream_to_packets(frames: DataFrame, config: Config, files_per_trigger: int = 4) -> DataFrame:
     """Runs a table of frames through the stream, file by file, and returns its packets."""
     spark = frames.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="framewright-")
-    import uuid
-
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     frames.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{root}/in")
     start(stream, config, f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()

@@ -82,3 +82,5 @@ def test_written_movie(spark, tmp_path):
     n = container.write_movie(df, f"file://{tmp_path}/out.mov", m)
     data = (tmp_path / "out.mov").read_bytes()
     assert data == container.movie_bytes(packets, m) and n == len(data)
+    parts = {r["place"]: bytes(r["data"]) for r in container.movie_parts(df, m).collect()}
+    assert len(parts) == 8 and all(data[at : at + len(part)] == part for at, part in parts.items()) and sum(map(len, parts.values())) == n

@@ -50,6 +50,21 @@ def test_png_folder(spark, tmp_path):
         frames.decode_png(frames.image_sequence(spark, str(tmp_path)), Config(6, 7)).collect()
 
 
+def test_written_png_folder(spark, tmp_path):
+    c = Config(6, 4)
+    made = frames.synthetic_frames(spark.range(12).withColumnRenamed("id", "frame_idx"), 6, 4)
+    frames.write_png(made, f"file://{tmp_path}/shots", "s_%d.png")
+    got = frames.decode_png(frames.image_sequence(spark, f"file://{tmp_path}/shots"), c)
+    assert {r["frame_idx"]: bytes(r["rgba"]) for r in got.collect()} == {i: frames.synthetic_rgba(i, 6, 4) for i in range(12)}
+
+
+def test_numbering_does_not_depend_on_ranges(spark):
+    names = [f"shot_{i}.png" for i in (9, 10, 2, 700, 70_000, 5)] + ["b.png", "a.png", "ab.png", "9_x.png", "x_0009.png"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [[r["name"] for r in frames.number_names(df, n).orderBy("frame_idx").collect()] for n in (3, 65_536)]
+    assert got[0] == got[1] == ["a.png", "ab.png", "b.png", "shot_2.png", "shot_5.png", "9_x.png", "shot_9.png", "x_0009.png", "shot_10.png", "shot_700.png", "shot_70000.png"]
+
+
 def test_raw_file(spark, tmp_path):
     c = Config(4, 3)
     data = [frames.synthetic_rgba(i, 4, 3) for i in range(9)]
@@ -73,7 +88,7 @@ def test_frames_are_checked(spark):
     good = spark.createDataFrame([(0, 2, 2, bytearray(16))], frames.FRAMES)
     assert frames.check_frames(good, c).count() == 1
     for row in [(0, 2, 2, bytearray(15)), (0, 3, 2, bytearray(16)), (0, 2, 2, None)]:
-        with pytest.raises(Exception, match="has 16 bytes"):
+        with pytest.raises(Exception, match="has 16 bytes|not 3 x 2"):
             frames.check_frames(spark.createDataFrame([row], frames.FRAMES), c).collect()
 
 
