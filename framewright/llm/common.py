@@ -25,11 +25,6 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def words(text: Column) -> Column:
-    """The words of a text, none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of its own only where none is set and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

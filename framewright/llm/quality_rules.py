@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP, Scratch, table, words
+from .common import GAP, Scratch, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,15 +28,16 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 10, 0.05, 0.3
 
 
-def repeated_words(tokens: Column, size: int = WINDOW) -> Column:
-    """The number of words that lie in a window found twice or more in the text.
+def tokens(text: Column) -> Column:
+    """The words of a text; only its ends could give empty ones, so they are trimmed first."""
+    whole = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(whole, GAP))
 
-    Windows are compared by two hashes of 64 and 32 bits; sorted, equal ones are neighbours. Every
-    step is over arrays of one text and n log n at most.
-    """
-    n = F.size(tokens)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(tokens, i, size)).alias("h"), i.alias("i")))
+
+def paired(hashes: Column, step: int) -> Column:
+    """Hashes of each hash with the one ``step`` after it."""
+    n = F.greatest(F.size(hashes) - step, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + step), n), lambda x, y: F.xxhash64(x, y))
 
 
 def count_covered(windows: Column, size: int = WINDOW) -> Column:
@@ -49,27 +50,35 @@ def count_covered(windows: Column, size: int = WINDOW) -> Column:
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns with n_words, the base counts and base_failed."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    less = lambda chars: F.char_length(F.translate(whole, chars, ""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.char_length(F.translate(x, SPACES, "")) > 0)
-    out = docs.withColumns({"word_chars": less(SPACES).cast("long"), "n_symbols": (F.char_length(whole) - less(SYMBOLS)).cast("long"), "__lines": lines, "__tokens": words(F.col(text))})
-    out = out.withColumns({"n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"), "n_words": F.size("__tokens").cast("long"), "__windows": repeated_words(F.col("__tokens"))})
-    # most texts repeat no window: only the others are sorted
-    plain = F.size(F.array_distinct(F.transform("__windows", lambda w: w["h"]))) == F.size("__windows")
-    out = out.withColumn("__sorted", F.when(plain, F.slice("__windows", 1, 0)).otherwise(F.sort_array("__windows")))
+    lines = F.filter(F.split(whole, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
+    out = docs.withColumns({"n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("long"), "__lines": lines, "__tokens": tokens(F.col(text))})
+    out = out.withColumns({"n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"), "n_words": F.size("__tokens").cast("long"), "word_chars": F.char_length(F.array_join("__tokens", "")).cast("long")})
+    # a word is hashed once: a window of eight is a pair of fours, which are pairs of twos
+    out = out.withColumn("__1", F.transform("__tokens", lambda w: F.xxhash64(w)))
+    for size in (1, 2, 4):
+        out = out.withColumn(f"__{2 * size}", paired(F.col(f"__{size}"), size))
+    # most texts repeat no window: only the others are sorted, for equal ones to be neighbours
+    plain = F.size(F.array_distinct(f"__{WINDOW}")) == F.size(f"__{WINDOW}")
+    windows = F.transform(f"__{WINDOW}", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    out = out.withColumn("__sorted", F.when(plain, F.slice(windows, 1, 0)).otherwise(F.sort_array(windows)))
     out = out.withColumn("__marked", count_covered(F.col("__sorted")))
     covered = F.aggregate(F.transform("__marked", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__marked"), i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda s, x: s + x)
     out = out.withColumn("n_repeat_words", covered)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__lines", "__tokens", "__windows", "__sorted", "__marked")
+    return out.withColumn("base_failed", failed).drop("__lines", "__tokens", "__1", "__2", "__4", "__8", "__sorted", "__marked")
 
 
 def normal_lines(docs: DataFrame, ident: str, host: str, text: str) -> DataFrame:
     """(id, mark, host, hash, words): each different normalised line of each text once, with the words of all its copies."""
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")).alias("host"), F.explode(F.split(whole, "\n")).alias("line"))
-    line = F.trim(F.regexp_replace(F.translate(F.lower("line"), "123456789", "000000000"), GAP, " "))
-    rows = rows.select("id", "mark", "host", line.alias("line")).where("line <> ''")
-    return rows.select("id", "mark", "host", F.xxhash64("line").alias("hash"), (F.char_length("line") - F.char_length(F.translate("line", " ", "")) + 1).alias("words"))
+    # most lines have neither figures nor wide gaps: to look is cheaper than to replace
+    line = F.lower("line")
+    line = F.when(line.rlike("[1-9]"), F.regexp_replace(line, "[1-9]", "0")).otherwise(line)
+    rows = rows.select("id", "mark", "host", F.trim(line, F.lit(SPACES)).alias("line")).where("line <> ''")
+    rows = rows.withColumn("line", F.when(F.col("line").rlike(r"[\x09-\x0D]|  "), F.regexp_replace("line", GAP, " ")).otherwise(F.col("line")))
+    words = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return rows.select("id", "mark", "host", F.xxhash64("line").alias("hash"), words.alias("words"))
 
 
 def quality_rules(docs: DataFrame, ident: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
