@@ -166,6 +166,50 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_fold_by_plain_loops(spark):
+    """One block of each source: documents meet in the order of their draws, the last one and two more close."""
+    draw = __import__("random").Random(4)
+    rows = [(i, "ab"[i % 2], " ".join(["w"] * draw.randrange(1, 30))) for i in range(50)] + [(0, "a", "w w")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    own = df.select(F.col("doc_id").alias("id"), "source", F.concat(F.lit("s"), "source").alias("key"), F.size(F.split("text", " ")).cast("long").alias("size"), F.xxhash64("text").alias("th"))
+    drawn = [r.asDict() for r in mixing.numbered(own).select("*", mixing.draw(F.col("row"), 0).alias("u")).collect()]
+    assert len({r["row"] for r in drawn}) == len(rows)
+    expected = targets({s: sum(r["size"] for r in drawn if r["source"] == s) for s in "ab"})
+    want = []
+    for s in "ab":
+        block = sorted((r for r in drawn if r["source"] == s), key=lambda r: (r["u"], r["id"]))
+        share = expected[s] / sum(r["size"] for r in block)
+        whole, p = int(share + 1e-9), [max(0.0, share - int(share + 1e-9))] * len(block)
+        at = 0
+        for k in range(1, len(block)):
+            if p[at] in (0.0, 1.0):
+                at = k
+                continue
+            wa, wx = block[at]["size"], block[k]["size"]
+            up, down = min((1 - p[at]) * wa, p[k] * wx), min(p[at] * wa, (1 - p[k]) * wx)
+            move = up if block[k]["u"] * (up + down) < down else -down
+            p[at], p[k] = p[at] + move / wa, p[k] - move / wx
+            p = [0.0 if abs(v) < 1e-9 else 1.0 if abs(v - 1) < 1e-9 else v for v in p]
+            at = k if p[at] in (0.0, 1.0) else at
+        ends = [float(round(v)) for v in p]
+        over = sum((e - v) * r["size"] for e, v, r in zip(ends, p, block, strict=True))
+        gain = [(1 - 2 * e) * r["size"] for e, r in zip(ends, block, strict=True)]
+        best = min([abs(over), *(abs(over + g) for g in gain), *(abs(over + gain[i] + gain[j]) for i in range(len(gain)) for j in range(i))])
+        want.append((s, whole, best))
+    got = mixing.mix(df).join(df.select(F.col("doc_id").alias("id"), "source").distinct(), "id").collect()
+    for s, whole, best in want:
+        own_rows = [r for r in got if r["source"] == s]
+        assert {r["copies"] - whole for r in own_rows} <= {0, 1} and len(own_rows) == sum(r[1] == s for r in rows)
+        assert abs(sum(r["taken"] for r in own_rows) - expected[s]) == pytest.approx(best, abs=1e-6)
+
+
+def test_hot_ids_fill_no_block(spark):
+    rows = spark.range(3_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("w "), F.col("id") % 1000).alias("text"))
+    own = rows.select(F.col("doc_id").alias("id"), "source", F.lit("sa").alias("key"), F.lit(2).cast("long").alias("size"), F.xxhash64("text").alias("th"))
+    got = mixing.numbered(own)
+    assert got.count() == got.select("row").distinct().count() == 3_000
+
+
 def test_every_document_has_its_chance(spark):
     """Over seeds, documents of one source are taken about as often as their share."""
     rows = [(i, s, " ".join(["w"] * 10)) for i, s in enumerate(["a"] * 100 + ["b"] * 100)]
