@@ -49,6 +49,8 @@ LIST_ROWS = 1024
 APART, CANDIDATES = 0.5, 4
 #: Cosine with its pivot from which a vector is in a region, and rows of a region compared in one group.
 CORE, REGION_ROWS = 3**0.5 / 2, 8192
+#: In place of a pivot where there are fewer than ``NEAREST``.
+FAR = np.iinfo(np.int32).max
 #: Rows of a region multiplied with all others at a time.
 STRIP = 256
 #: Rows compared at a time within a task; groups of more rows than ``SMALL`` are each one product of matrices.
@@ -95,28 +97,55 @@ def describe(classes: DataFrame, pivots: list[np.ndarray], threshold: float) ->
     # no nearer than this to the pivot, a vector is linked to none of the region
     visit = np.cos(min(np.pi, np.arccos(CORE) + np.arccos(np.clip(threshold, -1, 1)))) - 1e-9
 
+    pairs = np.array(list(combinations(range(NEAREST), 2))).T
+
+    def some(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """near, home and (row, key) of unit vectors of a length."""
+        ids, points = sent.value.get(x.shape[1], (np.zeros(0, np.int64), np.zeros((0, x.shape[1]))))
+        sims = x @ points.T
+        k = min(NEAREST, len(ids))
+        near = np.full((len(x), NEAREST), FAR, np.int64)
+        home = np.full(len(x), -1, np.int64)
+        if k:
+            first = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            first = np.take_along_axis(first, np.lexsort((first, -np.take_along_axis(sims, first, axis=1))), axis=1)
+            home = np.where(np.take_along_axis(sims, first[:, :1], axis=1)[:, 0] >= CORE, ids[first[:, 0]], -1)
+            near[:, :k] = ids[first]
+        if k < 2:  # of vectors of a length with one pivot or none, those in no region stand in one list
+            near[:, :2] = 0, 1
+        row, p = np.nonzero(sims >= visit)
+        mine = (home[row] < 0) | (ids[p] <= home[row])
+        row, key = row[mine], ids[p[mine]] * (MOST_PIVOTS + 1)
+        out = np.flatnonzero(home < 0)
+        one, two = near[out][:, pairs[0]], near[out][:, pairs[1]]
+        of, which = np.nonzero(np.maximum(one, two) < FAR)
+        both = np.minimum(one, two)[of, which] * MOST_PIVOTS + np.maximum(one, two)[of, which]
+        return near, home, (np.r_[row, out[of]], np.r_[key, both])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.column(3).to_pylist()
-            vecs, near, home, keys = [], [], [], []
-            for r in rows:
-                x = unit(np.array([r], dtype=np.float64))[0]
-                vecs.append(x.tobytes())
-                ids, points = sent.value.get(len(x), (np.arange(0), np.zeros((0, len(x)))))
-                sims = points @ x
-                order = np.lexsort((ids, -sims))[:NEAREST]
-                # of vectors of a length with one pivot or none, those in no region stand in one list
-                near.append(ids[order].tolist() if len(ids) > 1 else [0, 1])
-                inside = len(ids) > 0 and sims[order[0]] >= CORE
-                home.append(int(ids[order[0]]) if inside else -1)
-                lists = [int(p) * (MOST_PIVOTS + 1) for p in ids[sims >= visit] if not inside or p <= home[-1]]
-                if not inside:
-                    lists += [min(p, q) * MOST_PIVOTS + max(p, q) for p, q in combinations(near[-1], 2)]
-                keys.append(lists)
-            columns = [pa.array([len(r) for r in rows], pa.int32()), pa.array(vecs, pa.binary()), pa.array(near, pa.list_(pa.int32())), pa.array(home, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=["label", "rep", "n", "dim", "vec", "near", "home", "keys"])
-
-    return classes.mapInArrow(run, "label string, rep long, n long, dim int, vec binary, near array<int>, home int, keys array<long>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                column = batch.column(3)
+                dims = np.diff(offsets := column.offsets.to_numpy())
+                flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                n = len(dims)
+                near, home, vecs, row, key = np.full((n, NEAREST), FAR, np.int32), np.zeros(n, np.int32), [b""] * n, [], []
+                for d in np.unique(dims):
+                    own = np.flatnonzero(dims == d)
+                    x = unit(flat[offsets[own][:, None] + np.arange(d)])
+                    near[own], home[own], (r, k) = some(x)
+                    row.append(own[r])
+                    key.append(k)
+                    for i, v in zip(own.tolist(), x, strict=True):
+                        vecs[i] = v.tobytes()
+                row, key = np.concatenate(row), np.concatenate(key)
+                order = np.argsort(row, kind="stable")
+                keys = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(n + 1)), pa.int32()), pa.array(key[order], pa.int64()))
+                columns = [pa.array(dims, pa.int32()), pa.array(vecs, pa.binary()), pa.array([v.tobytes() for v in near], pa.binary()), pa.array(home), keys]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=["label", "rep", "n", "dim", "vec", "near", "home", "keys"])
+
+    return classes.mapInArrow(run, "label string, rep long, n long, dim int, vec binary, near binary, home int, keys array<long>")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,7 +194,7 @@ def verify(group: np.ndarray, key: np.ndarray, block: np.ndarray, cross: np.ndar
     own = np.zeros(len(i), bool)
     for at in range(0, len(i), BATCH):
         a, b = near[i[at : at + BATCH]], near[j[at : at + BATCH]]
-        shared = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, np.iinfo(np.int32).max)
+        shared = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, FAR)
         shared.sort(axis=1)
         own[at : at + BATCH] = ((shared < MOST_PIVOTS).sum(axis=1) >= MIN_SHARED) & (shared[:, 0].astype(np.int64) * MOST_PIVOTS + shared[:, 1] == key[i[at : at + BATCH]])
     return i[own], j[own]
@@ -198,7 +227,7 @@ def search(lists: DataFrame, threshold: float) -> DataFrame:
         label = get("label").dictionary_encode().indices.to_numpy()
         new = np.r_[True, (mark[1:] != mark[:-1]).any(axis=1) | (label[1:] != label[:-1])]
         group, rep, n = np.cumsum(new) - 1, get("rep").to_numpy(), get("n").to_numpy()
-        near = np.stack([np.pad(np.array(x, np.int32), (0, NEAREST - len(x)), constant_values=np.iinfo(np.int32).max) for x in get("near").to_pylist()])
+        near = np.frombuffer(b"".join(get("near").to_pylist()), np.int32).reshape(-1, NEAREST)
         hits, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
         home, block, cross = get("home").to_numpy(), get("block").to_numpy(), mark[:, 1] != mark[:, 2]
         region = mark[:, 0] % (MOST_PIVOTS + 1) == 0
@@ -226,11 +255,10 @@ def search(lists: DataFrame, threshold: float) -> DataFrame:
             if sum(b.num_rows for b in held) < BATCH:
                 continue
             rows = pa.Table.from_batches(held)
-            tail = [rows.column(c)[rows.num_rows - 1].as_py() for c in ("label", "key", "one", "two", "dim")]
-            at = rows.num_rows - 1  # the last group may go on
-            columns = [rows.column(c).to_pylist() for c in ("label", "key", "one", "two", "dim")]
-            while at > 0 and [c[at - 1] for c in columns] == tail:
-                at -= 1
+            get = lambda c: rows.column(c).combine_chunks()
+            columns = [get(c).to_numpy() for c in ("key", "one", "two", "dim")] + [get("label").dictionary_encode().indices.to_numpy()]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+            at = int(new[-1]) + 1 if len(new) else 0  # the last group may go on
             if at:
                 yield compare(rows.slice(0, at))
             held = rows.slice(at).to_batches()
