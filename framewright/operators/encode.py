@@ -24,8 +24,8 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
 def encode_frames(frames: DataFrame, config: Config) -> DataFrame:
     """(frame_idx, size, data): each frame's packet.
 
-    Frames are independent, so they are encoded where they lie: no shuffle, one frame in memory at a
-    time, and the same bytes for any partitioning.
+    Frames are independent, so they are encoded where they lie: no shuffle, one batch in memory at a
+    time (64 MB by Spark's own setting, or one frame), and the same bytes for any partitioning.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,7 +203,7 @@ def number_names(files: DataFrame, range_rows: int = 65_536) -> DataFrame:
 
 
 def decode_png(files: DataFrame, config: Config) -> DataFrame:
-    """Frames from PNG contents (8-bit, not interlaced; grey, RGB or with alpha), four channels each."""
+    """Frames from PNG contents, four channels of 8 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,8 +216,53 @@ def decode_png(files: DataFrame, config: Config) -> DataFrame:
     return files.select("frame_idx", "content").mapInArrow(run, FRAMES)
 
 
+# Fixed values of the PNG format: first column and row, and steps, of the seven passes of an interlaced image.
+PNG_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def png_lines(data: np.ndarray, height: int, size: int, step: int) -> np.ndarray:
+    """(height, size) bytes from as many filtered lines; ``step`` is the bytes from a pixel to the next."""
+    out = np.zeros((height, size), np.uint8)
+    above = np.zeros(size, np.int64)
+    for y, row in enumerate(data.reshape(height, 1 + size)):
+        line = row[1:].astype(np.int64)
+        if row[0] == 1:
+            for k in range(step):
+                line[k::step] = np.cumsum(line[k::step])
+        elif row[0] == 2:
+            line = line + above
+        elif row[0] in (3, 4):
+            left = corner = np.zeros(step, np.int64)
+            for x in range(0, size, step):
+                up = above[x : x + step]
+                if row[0] == 3:
+                    guess = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                line[x : x + step] = left = (line[x : x + step] + guess) & 255
+                corner = up
+        above = line & 255
+        out[y] = above
+    return out
+
+
+def png_samples(lines: np.ndarray, width: int, n: int, depth: int) -> np.ndarray:
+    """(height, width, n) samples as they are stored, of 16 bits the upper 8."""
+    if depth == 16:
+        return lines.reshape(len(lines), width, n, 2)[..., 0]
+    if depth < 8:
+        bits = np.unpackbits(lines, axis=1)[:, : width * n * depth].reshape(len(lines), width, n, depth)
+        return (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=3).astype(np.uint8)
+    return lines.reshape(len(lines), width, n)
+
+
 def png_pixels(data: bytes) -> np.ndarray:
-    """(height, width, 4) of a PNG file's bytes."""
+    """(height, width, 4) of a PNG file's bytes: any depth, colour type and order of lines.
+
+    Of 16 bits the upper 8 are kept, and decide which colour is the clear one.
+    """
     import struct
     import zlib
 
@@ -232,45 +277,30 @@ def png_pixels(data: bytes) -> np.ndarray:
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
-            clear = np.frombuffer(body, np.uint8)
+            clear = body
         elif kind == b"IDAT":
             packed += body
         at += 12 + size
-    if depth != 8 or laced:
-        raise ValueError("only 8-bit PNG files that aren't interlaced")
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    rows = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(height, 1 + width * n)
-    out = np.zeros((height, width * n), np.uint8)
-    above = np.zeros(width * n, np.int64)
-    for y, row in enumerate(rows):
-        line = row[1:].astype(np.int64).reshape(width, n)
-        up = above.reshape(width, n)
-        if row[0] == 1:
-            line = np.cumsum(line, axis=0)
-        elif row[0] == 2:
-            line = line + up
-        elif row[0] in (3, 4):
-            left, corner = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            done = np.empty_like(line)
-            for x in range(width):
-                if row[0] == 3:
-                    guess = (left + up[x]) // 2
-                else:
-                    p = left + up[x] - corner
-                    a, b, c = abs(p - left), abs(p - up[x]), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up[x], corner))
-                left, corner = (line[x] + guess) & 255, up[x]
-                done[x] = left
-            line = done
-        above = (line & 255).ravel()
-        out[y] = above
-    px = out.reshape(height, width, n)
+    flat, at, px = np.frombuffer(zlib.decompress(packed), np.uint8), 0, np.zeros((height, width, n), np.uint8)
+    for x, y, across, down in PNG_PASSES if laced else ((0, 0, 1, 1),):
+        w, h = -(-(width - x) // across), -(-(height - y) // down)
+        if w > 0 and h > 0:
+            size = -(-w * n * depth // 8)
+            lines = png_lines(flat[at : at + h * (1 + size)], h, size, max(1, n * depth // 8))
+            px[y::down, x::across] = png_samples(lines, w, n, depth)
+            at += h * (1 + size)
     full = np.full((height, width, 1), 255, np.uint8)
     if color == 3:
         alpha = np.full(256, 255, np.uint8)
         if clear is not None:
-            alpha[: len(clear)] = clear
+            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
         return np.concatenate([palette[px[..., 0]], alpha[px]], axis=2)
+    if clear is not None and color in (0, 2):  # one colour lets all through
+        key = np.array(struct.unpack(f">{n}H", clear[: 2 * n])) >> (8 if depth == 16 else 0)
+        full = np.where((px == key).all(axis=2, keepdims=True), 0, 255).astype(np.uint8)
+    if depth < 8:
+        px = px * np.uint8(255 // ((1 << depth) - 1))
     grey = np.repeat(px[..., :1], 3, axis=2) if n < 3 else px[..., :3]
     return np.concatenate([grey, px[..., -1:] if n in (2, 4) else full], axis=2)
 

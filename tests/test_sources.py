@@ -38,6 +38,40 @@ def test_png(kind, n):
     assert (got[..., 3] == (px[..., -1] if n in (2, 4) else 255)).all()
 
 
+def packed_png(lines: list[bytes], width: int, height: int, depth: int, kind: int, laced: int = 0, **chunks: bytes) -> bytes:
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, laced))
+    more = b"".join(chunk(k.encode(), d) for k, d in chunks.items())
+    return b"\x89PNG\r\n\x1a\n" + head + more + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + x for x in lines))) + chunk(b"IEND", b"")
+
+
+def test_png_depths():
+    draw = np.random.default_rng(3)
+    wide = draw.integers(0, 1 << 16, (4, 5, 3))
+    got = frames.png_pixels(packed_png([r.astype(">u2").tobytes() for r in wide], 5, 4, 16, 2))
+    assert (got[..., :3] == wide >> 8).all() and (got[..., 3] == 255).all()
+    for depth in (1, 2, 4):
+        grey = draw.integers(0, 1 << depth, (3, 11))
+        lines = [np.packbits(np.unpackbits(r.astype(np.uint8)[:, None], axis=1)[:, 8 - depth :].ravel()).tobytes() for r in grey]
+        got = frames.png_pixels(packed_png(lines, 11, 3, depth, 0))
+        assert (got[..., 0] == grey * (255 // ((1 << depth) - 1))).all()
+        colours = draw.integers(0, 256, (1 << depth, 3), dtype=np.uint8)
+        got = frames.png_pixels(packed_png(lines, 11, 3, depth, 3, PLTE=colours.tobytes(), tRNS=b"\x07"))
+        assert (got[..., :3] == colours[grey]).all() and (got[..., 3] == np.where(grey == 0, 7, 255)).all()
+
+
+@pytest.mark.parametrize("size", [(1, 1), (3, 2), (9, 13), (16, 8)])
+def test_interlaced_png(size):
+    w, h = size
+    px = np.random.default_rng(w).integers(0, 256, (h, w, 4), dtype=np.uint8)
+    lines = []
+    for step, (x, y) in ((8, (0, 0)), (8, (4, 0)), ((4, 8), (0, 4)), (4, (2, 0)), ((2, 4), (0, 2)), (2, (1, 0)), ((1, 2), (0, 1))):
+        across, down = step if isinstance(step, tuple) else (step, {8: 8, 4: 4, 2: 2}[step])
+        part = px[y::down, x::across]
+        lines += [r.tobytes() for r in part] if part.size else []
+    assert (frames.png_pixels(packed_png(lines, w, h, 8, 6, 1)) == px).all()
+
+
 def test_png_folder(spark, tmp_path):
     c = Config(5, 7)
     px = [np.random.default_rng(i).integers(0, 256, (7, 5, 4), dtype=np.uint8) for i in range(12)]
