@@ -32,8 +32,11 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def once(keyed: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key is in ``keys`` (__key, n, any others), equal ones once; n says how many there are."""
-    both = lambda some: keyed.join(keys.where(some), "__key").drop("n")
+    """The rows whose key is in ``keys`` (__key, n, any others), equal ones once; n says how many there are.
+
+    There are about as many keys as documents, so both sides are sorted and merged at every size.
+    """
+    both = lambda some: keyed.join(keys.where(some).hint("merge"), "__key").drop("n")
     out = both("n = 1")
     if keys.where("n > 1").limit(1).count():  # else no text is shuffled for it
         out = out.union(both("n > 1").distinct())
