@@ -70,7 +70,7 @@ def snippets(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(did[at + text]), pa.array(th[at + text]), pa.array(place), pa.array(h), pa.array(s)], names=["did", "th", "place", "h", "s"])
                 at = to
 
-    return texts.mapInArrow(run, "did long, th int, place long, h long, s long")
+    return texts.mapInArrow(run, "did long, th long, place long, h long, s long")
 
 
 def cut_up(wide: DataFrame) -> DataFrame:
@@ -177,17 +177,19 @@ def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
     wanted = one.groupBy("did", "th").agg(F.collect_list(F.struct("h", "s", "n", "place")).alias("wanted"))
     start, size, d = F.shiftright("w.place", 17), F.shiftright("w.place", 8).bitwiseAND(511), F.col("w.place").bitwiseAND(255)
-    fetched = texts.join(wanted, ["did", "th"]).select("data", F.explode("wanted").alias("w"))
+    # rows of one id and one text give the same bytes: they meet before the shuffle, so copies of a row never do in a task
+    whole = texts.groupBy("did", "th").agg(F.first("data").alias("data"))
+    fetched = whole.join(wanted, ["did", "th"]).select("data", F.explode("wanted").alias("w"))
     fetched = fetched.select("w.h", "w.s", "w.n", d.cast("int").alias("d"), size.cast("int").alias("size"), F.substring("data", (start + 1).cast("int"), size.cast("int")).alias("data"))
-    # of one id and text there may be several rows: each gives the same bytes, one is enough
-    pieces = scratch.write(fetched.groupBy("h", "s").agg(*(F.first(c).alias(c) for c in ("n", "d", "size", "data"))), "pieces")
+    pieces = scratch.write(fetched, "pieces")
     scratch.drop("one")
     spans = recur(pieces, scratch)
 
     span = lambda low, high: F.shiftleft((F.shiftright("place", 17) + low).cast("long"), 32) + F.shiftright("place", 17) + high
     some = mixed.select("did", "th", "place", "h", "s").join(spans, ["h", "s"]).select("did", "th", span(F.col("begin"), F.col("end")).alias("span"))
     every = placed.where("NOT mixed").select("did", "th", span(F.lit(0), F.shiftright("place", 8).bitwiseAND(511)).alias("span"))
-    out = scratch.write(some.union(every).groupBy("did", "th").agg(F.collect_list("span").alias("spans")), "spans")
+    # a set: copies of a row have the same spans, which meet before the shuffle
+    out = scratch.write(some.union(every).groupBy("did", "th").agg(F.collect_set("span").alias("spans")), "spans")
     scratch.drop_but("spans")
     return out
 
@@ -213,7 +215,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     did = F.coalesce(column(ident).cast("long"), F.lit(0))
-    th = F.hash(column(ident).isNull(), column(text))
+    th = F.xxhash64(column(ident).isNull(), column(text))
     data = F.coalesce(column(text), F.lit("")).cast("binary")
     spans = repeated_spans(docs.select(did.alias("did"), th.alias("th"), data.alias("data")), scratch)
     own = [c for c in (keep if keep is not None else docs.columns) if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
@@ -252,3 +254,24 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: what is left of every document."""
     got = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, i, md5_number(b[i + 1:i + 200]) AS m FROM (SELECT rid, b, unnest(range(octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)
+), r AS (
+  SELECT rid, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)
+), g AS (
+  SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r
+), s AS (
+  SELECT rid, min(i) AS a, max(i) + 200 AS z FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS n FROM g) GROUP BY rid, n
+), k AS (
+  SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s
+), p AS (
+  SELECT rid, count(*) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS head, max(z) AS last FROM k JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN last IS NULL THEN b ELSE from_hex(head || hex(b[last + 1:octet_length(b)])) END) AS kept_sha256
+FROM d LEFT JOIN p USING (rid)
+"""
