@@ -314,3 +314,22 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: links and component of every row of ``embeddings``."""
     got = near_vectors(table(spark, sf_dir, "embeddings"))
     return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), known AS MATERIALIZED (
+  SELECT rid, label, CASE WHEN label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e FROM v
+), good AS MATERIALIZED (
+  SELECT rid, label, len(e) AS d, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM known WHERE e IS NOT NULL
+), pairs AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM good a JOIN good b ON a.label = b.label AND a.d = b.d AND a.rid <> b.rid WHERE list_dot_product(a.u, b.u) >= 0.93::DOUBLE
+), reach AS (
+  SELECT rid, rid AS other FROM v UNION SELECT reach.rid, b FROM reach JOIN pairs ON other = a
+), part AS (
+  SELECT r.rid, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rid = other GROUP BY r.rid
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN part USING (rid) LEFT JOIN (SELECT a AS rid, count(*) AS n FROM pairs GROUP BY a) USING (rid)
+"""

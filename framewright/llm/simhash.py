@@ -150,3 +150,55 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: fingerprint and component of every document."""
     got = simhash_groups(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# Fixed values of XXH64: its five primes.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def op3_sql(shingle: int = SHINGLE, seed: int = SEED, bits: int = MAX_BITS) -> str:
+    """DuckDB SQL for the query: XXH64 in 128-bit numbers, all pairs of fingerprints, and what is reachable."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
+    mask = f"{(1 << 64) - 1}::UHUGEINT"
+    mul = lambda a, b: f"((({a}) * ({b})) & {mask})"
+    add = lambda *x: f"(({' + '.join(x)}) & {mask})"
+    turn = lambda x, r: f"((({x}) * {1 << r}::UHUGEINT & {mask}) + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+    mixed = lambda x: mul(turn(mul(x, p2), 31), p1)
+    number = lambda size, at: "CAST('0x' || " + " || ".join(f"substr(h, CAST(2 * ({at}) + {2 * k + 1} AS BIGINT), 2)" for k in range(size - 1, -1, -1)) + " AS UBIGINT)::UHUGEINT"
+    seeds = ((seed + PRIMES[0] + PRIMES[1]) % (1 << 64), (seed + PRIMES[1]) % (1 << 64), seed, (seed - PRIMES[0]) % (1 << 64))
+    start = "{" + ", ".join(f"'{c}': {v}::UHUGEINT" for c, v in zip("abcd", seeds, strict=True)) + "}"
+    stripe = "{" + ", ".join(f"'{c}': {mul(f'lanes[CAST(4 * k + {i} AS BIGINT)]', p2)}" for i, c in enumerate("abcd", 1)) + "}"
+    one = "{" + ", ".join(f"'{c}': {mul(turn(add(f's.{c}', f'x.{c}'), 31), p1)}" for c in "abcd") + "}"
+    joined = add(*(turn(f"acc.{c}", r) for c, r in zip("abcd", (1, 7, 12, 18), strict=True)))
+    capital = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    counts = ", ".join(f"CAST(sum(CAST(x >> {k} & 1::UHUGEINT AS INTEGER)) AS BIGINT) AS b{k}" for k in range(64))
+    print_bits = " + ".join(f"CASE WHEN 2 * b{k} > n THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END" for k in range(64))
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capital}', '{capital.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS MATERIALIZED (
+  SELECT rid, array_to_string(w[i:i + {shingle - 1}], ' ') AS t FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), h0 AS MATERIALIZED (SELECT t, hex(encode(t)) AS h, CAST(octet_length(encode(t)) AS BIGINT) AS n FROM (SELECT DISTINCT t FROM g)),
+h1 AS (SELECT *, list_transform(range(n // 8), lambda k: {number(8, "8 * k")}) AS lanes FROM h0),
+h2 AS (SELECT *, list_transform(range(n // 32), lambda k: {stripe}) AS stripes FROM h1),
+h3 AS (SELECT *, list_reduce(list_prepend({start}, stripes), lambda s, x: {one}) AS acc FROM h2),
+h4 AS (SELECT t, h, n, list_transform(lanes[4 * (n // 32) + 1:], lambda x: {mixed("x")}) AS rest,
+  {add(f"CASE WHEN n < 32 THEN {(seed + PRIMES[4]) % (1 << 64)}::UHUGEINT ELSE list_reduce([{joined}, {', '.join(mixed(f'acc.{c}') for c in 'abcd')}], lambda s, x: {add(mul('xor(s, x)', p1), p4)}) END", "n::UHUGEINT")} AS v FROM h3),
+h5 AS (SELECT t, h, n, list_reduce(list_prepend(v, rest), lambda s, x: {add(mul(turn("xor(s, x)", 27), p1), p4)}) AS v FROM h4),
+h6 AS (SELECT t, h, n, CASE WHEN n % 8 >= 4 THEN xor(v, {mul(number(4, "n // 8 * 8"), p1)}) END AS y, v FROM h5),
+h7 AS (SELECT t, CASE WHEN y IS NULL THEN v ELSE {add(mul(turn("y", 23), p2), p3)} END AS v, list_transform(range(n // 4 * 4, n), lambda k: {mul(number(1, "k"), p5)}) AS rest FROM h6),
+h8 AS (SELECT t, list_reduce(list_prepend(v, rest), lambda s, x: {mul(turn("xor(s, x)", 11), p1)}) AS v FROM h7),
+h9 AS (SELECT t, {mul("xor(v, v >> 33)", p2)} AS v FROM h8),
+h10 AS (SELECT t, {mul("xor(v, v >> 29)", p3)} AS v FROM h9),
+hashed AS MATERIALIZED (SELECT t, xor(v, v >> 32) AS x FROM h10),
+c AS (SELECT rid, count(*) AS n, {counts} FROM g JOIN hashed USING (t) GROUP BY rid),
+f AS MATERIALIZED (SELECT rid, doc_id, CAST(coalesce({print_bits}, 0::UHUGEINT) AS UBIGINT) AS fp FROM d LEFT JOIN c USING (rid)),
+fps AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+pairs AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM fps a JOIN fps b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {bits}),
+reach AS (SELECT fp, fp AS other FROM fps UNION SELECT reach.fp, b FROM reach JOIN pairs ON other = a),
+part AS (SELECT reach.fp, min(least) AS component_id FROM reach JOIN fps ON other = fps.fp GROUP BY reach.fp)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN part USING (fp)
+"""
+
+
+OP3_SQL = op3_sql()
